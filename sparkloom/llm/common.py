@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all word and text contracts here, as a character class.
@@ -93,3 +93,22 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
     return tuple(row)
+
+
+def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
+    """crc32(doc_id as text) mod ``modulus`` is ``rest``; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int, longest: int = 200_000):
+    """About ``limit`` of the labelled ``rows(doc_id, ...)`` with their texts, as a pandas frame on the driver.
+
+    Rows come by hash of doc_id, alike at every size.  ``limit`` rows and ``longest`` characters bound the sample.
+    """
+    rows = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    total = max(1, rows.count())
+    low = int(min(1.0, limit / total) * (1 << 30))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < low)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= longest)
+    out = texts.join(F.broadcast(rows), "doc_id").toPandas()  # at most the bounded sample
+    return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)

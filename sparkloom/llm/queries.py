@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, mixing, toxicity, url_filter
 from .common import table
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -14,5 +23,5 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_toxicity, op8_exact_dedup, op10_url_filter)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}

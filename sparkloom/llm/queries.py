@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, toxicity, url_filter
+from . import exact_dedup, language_id, mixing, quality_model, toxicity, url_filter
 from .common import table
 
 
@@ -10,6 +10,11 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.quality(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -19,9 +24,14 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.language_id(docs, language_id.train(docs))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_toxicity, op8_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality, op5_toxicity, op8_exact_dedup, op9_language_id, op10_url_filter)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality_model, quality_rules, toxicity, url_filter
+from . import exact_dedup, language_id, mixing, near_dedup, quality_model, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality, op5_toxicity, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality, op5_toxicity, op6_near_dedup, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_url_filter)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}

@@ -71,7 +71,7 @@ def fit(texts, langs, seed: int = 9) -> Model:
     rng = np.random.default_rng(seed)
     data, offs = tc.flat(pa.array(list(texts), type=pa.large_string()))
     y = np.array([names.index(x) for x in langs])
-    x = presence(data, offs).astype(np.uint8)
+    x = np.concatenate([presence(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]).astype(np.uint8) for a, b in tc.cuts(offs, 1 << 19)])
     each = max(1, LANDMARKS // len(names))
     marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:each] for k in range(len(names))])
     model = Model(names, np.zeros(0), np.zeros(0), np.zeros(len(names)))

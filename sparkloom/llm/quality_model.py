@@ -104,23 +104,24 @@ def index_vectors(n: int, salt: int) -> np.ndarray:
     return out
 
 
-def context_vectors(form, shape, first) -> tuple[np.ndarray, np.ndarray]:
+def context_vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit context vectors of forms and of shapes over the sample; unseen forms have the zero vector."""
-    index = index_vectors(FORMS, 31)[form] + 2 * index_vectors(SHAPES, 37)[shape]
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    around = np.zeros_like(index)
-    for d in range(1, WINDOW + 1):
-        near = (text[d:] == text[:-d])[:, None]
-        around[d:] += index[:-d] * near
-        around[:-d] += index[d:] * near
-    out = []
-    for ids, size, salt in ((form, FORMS, 31), (shape, SHAPES, 37)):
-        total = np.zeros((size, DIM), np.float32)
-        np.add.at(total, ids, around)
+    index_forms, index_shapes = index_vectors(FORMS, 31), index_vectors(SHAPES, 37)
+    forms, shapes = np.zeros((FORMS, DIM), np.float32), np.zeros((SHAPES, DIM), np.float32)
+    for a, b in tc.cuts(offs, 1 << 19):
+        form, shape, first = terms(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        index = index_forms[form] + 2 * index_shapes[shape]
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        around = np.zeros_like(index)
+        for d in range(1, WINDOW + 1):
+            near = (text[d:] == text[:-d])[:, None]
+            around[d:] += index[:-d] * near
+            around[:-d] += index[d:] * near
+        np.add.at(forms, form, around)
+        np.add.at(shapes, shape, around)
+    for total in (forms, shapes):
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
-        out.append(total)
-    out[1] += 0.5 * index_vectors(SHAPES, 41)
-    return out[0], out[1]
+    return forms, shapes + 0.5 * index_vectors(SHAPES, 41)
 
 
 def fit(texts, labels, seed: int = 4) -> Model:
@@ -131,10 +132,10 @@ def fit(texts, labels, seed: int = 4) -> Model:
     zero = np.zeros
     if not len(y) or y.min() == y.max():
         return Model(zero((FORMS, DIM), np.float32), zero((SHAPES, DIM), np.float32), zero(2 * DIM + 2), np.ones(2 * DIM + 2), zero((2 * DIM + 2, HIDDEN)), zero(HIDDEN), zero(HIDDEN), 5.0 if len(y) and y[0] else -5.0, 1.0)
-    forms, shapes = context_vectors(*terms(data, offs))
+    forms, shapes = context_vectors(data, offs)
     width = 2 * DIM + 2
     model = Model(forms, shapes, zero(width), np.ones(width), rng.normal(0, width**-0.5, (width, HIDDEN)), zero(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), float(np.log(y.mean() / (1 - y.mean()))), 1.0)
-    x = model.pooled(data, offs).astype(np.float64)
+    x = np.concatenate([model.pooled(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tc.cuts(offs, 1 << 19)]).astype(np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
     tune = rng.permutation(len(y)) < len(y) // 5
     train = np.flatnonzero(~tune)

@@ -75,11 +75,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """Cuts Arrow batches into runs of rows with about ``limit`` text bytes: (rows, bytes, offsets)."""
     for batch in batches:
         data, offs = flat(batch.column(batch.schema.get_field_index(column)))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+        for at, to in cuts(offs, limit):
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
-            at = to
+
+
+def cuts(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) with about ``limit`` bytes each."""
+    at = 0
+    while at < len(offs) - 1:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+        yield at, to
+        at = to
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textcore as tc
 from .common import held_out, training_sample
@@ -113,7 +115,9 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
         model.out[:], model.const = 0, 5.0 if len(y) and y[0] else -5.0
         return model
     data, offs = _join(texts)
-    word, prefix, first = tokens(data, offs)
+    runs = [tokens(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tc.cuts(offs, 1 << 19)]
+    word, prefix = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r[2]) for r in runs]))])
     tune = rng.permutation(len(y)) < len(y) // 5
     train = np.flatnonzero(~tune & (np.diff(first) > 0))
     weight = np.where(y > 0, min(8.0, (y == 0).sum() / (y > 0).sum()) ** 0.5, 1.0).astype(np.float32)
@@ -155,9 +159,9 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
                 first_moment[k][at] = 0.9 * first_moment[k][at] + 0.1 * g
                 second_moment[k][at] = 0.999 * second_moment[k][at] + 0.001 * g * g
                 value[at] -= RATE * (0.93**epoch) * (first_moment[k][at] / (1 - 0.9**step)) / (np.sqrt(second_moment[k][at] / (1 - 0.999**step)) + 1e-8)
-    logit = np.concatenate([model.logits(word[first[a] : first[b]], prefix[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in ((i, min(i + 256, len(y))) for i in range(0, len(y), 256))])
+    logit = np.concatenate([model.logits(word[first[a] : first[b]], prefix[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in tc.cuts(offs, 1 << 19)])
     names = np.array([x if isinstance(x, str) else "" for x in langs])
-    shares = np.concatenate([byte_shares(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in ((i, min(i + 256, len(y))) for i in range(0, len(y), 256))])
+    shares = np.concatenate([byte_shares(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tc.cuts(offs, 1 << 19)])
     profiles = np.array([shares[names == x].mean(0) for x in np.unique(names)])
     model.langs = (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     told = (shares @ model.langs.T).argmax(1)
@@ -181,14 +185,21 @@ def _cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float(best[np.abs(best).argmin()])
 
 
-def _limits(rows: DataFrame, model: Model) -> DataFrame:
+def _scored(rows: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``rows`` with their score as one more column; ``text`` among them."""
+
     def score(batches):
         for part, data, offs in tc.slices(batches, "text", 1 << 19):
-            s = model.scores(data, offs).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(s)], names=[*part.schema.names[:-1], "score"])
+            s = pa.array(model.scores(data, offs).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*part.columns, s], names=[*part.schema.names, name])
+
+    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    return rows.select(*[c for c in rows.columns if c != "text"], "text").mapInArrow(score, ", ".join([*fields, "score double"]))
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the classifier doesn't reject, with all their columns."""
+    name = next(n for n in (f"score{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return _scored(docs, model, name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -209,7 +220,5 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     Repeated rows score alike.  Labels, lang, source and doc_id are no inputs of the score.
     """
-    from pyspark.sql import functions as F
-
-    scored = _limits(docs.select("doc_id", "text"), model)
+    scored = _scored(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

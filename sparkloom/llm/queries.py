@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, toxicity, url_filter
+from . import exact_dedup, language_id, mixing, near_dedup, quality_model, quality_rules, sentencepiece, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_sentencepiece(spark, sf_dir, model_file=sentencepiece.MODEL):
+    return sentencepiece.encoded(table(spark, sf_dir, "documents"), sentencepiece.load(model_file))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_mixing, op4_quality, op5_toxicity, op6_near_dedup, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_mixing, op4_quality, op5_toxicity, op6_near_dedup, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_url_filter)}
 ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}

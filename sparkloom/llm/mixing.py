@@ -20,7 +20,7 @@ from .common import WORD, stored
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BLOCK, SHARDS, SEED = 64, 64, 20240607
 #: Documents of a source are summed in hash buckets of about this many, so that no source needs one task.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -165,12 +165,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Needs doc_id, text, source, n_chars; ``n_chars`` follows the text, all other columns are kept.
     """
     plan = mix(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "spans").where("copies > 0 OR size(spans) > 0").distinct()
-    rows = docs.withColumn("m_words", word_count()).join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size")))
-    tokens = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    rows = rows.withColumn("m_tokens", F.when(F.size("spans") > 0, tokens))
-    pieces = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("m_tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
-    whole = F.array_repeat(F.col("text"), F.col("copies").cast("int"))
-    rows = rows.withColumn("text", F.explode(F.concat(whole, F.when(F.size("spans") > 0, F.array(pieces)).otherwise(F.array().cast("array<string>")))))
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
+    rows = docs.select(F.struct("*").alias("doc"), word_count().alias("words"))
+    rows = rows.join(plan, F.col("doc.doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("m_size")))
+    tokens = F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    rows = rows.withColumn("tokens", F.when(F.size("spans") > 0, tokens))
+    pieces = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
+    whole = F.array_repeat(F.col("doc.text"), F.col("copies").cast("int"))
+    rows = rows.select("doc", F.explode(F.concat(whole, F.when(F.size("spans") > 0, F.array(pieces)).otherwise(F.array().cast("array<string>")))).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))

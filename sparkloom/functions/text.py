@@ -59,7 +59,7 @@ def ocr_readings(token: Column) -> Column:
 
 def normalize_ocr(token: Column) -> Column:
     """The first reading that is in the vocabulary."""
-    return F.get(F.filter(F.transform(ocr_readings(token), normalize), lambda x: x.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(ocr_readings(token), lambda c: normalize(c)), lambda x: x.isNotNull()), F.lit(0))
 
 
 def caption(text: Column, strict: bool = False) -> Column:

@@ -9,7 +9,9 @@ from sparkloom.functions import text as X
 from sparkloom.functions import vocabulary
 from sparkloom.operators import evaluation as E
 from sparkloom.operators import features as V
+from sparkloom.operators import head as H
 from sparkloom.operators import manifest as M
+from sparkloom.operators import selection as C
 from sparkloom.operators import signal as S
 from sparkloom.plans import batches as P
 from sparkloom.streaming import incremental as I
@@ -446,3 +448,74 @@ def ward_clusters(spark, sf_dir):
 @query()
 def permutation_test(spark, sf_dir):
     return E.permutation_test(_told(spark, sf_dir), "y", "p", "source")
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 5")
+def head_per_group(spark, sf_dir):
+    return C.head(_t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], 5)
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r % 7 = 0 AND r < 42")
+def strided_sample(spark, sf_dir):
+    return C.strided(_t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], 7, 6)
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, min(p_partkey) LIMIT 5")
+def most_common(spark, sf_dir):
+    return C.most_common(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", 5)
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    dim = F.broadcast(vocabulary.taxonomy(spark))  # 89 rows
+    return _t(spark, sf_dir, "supplier").join(dim, (F.col("s_suppkey") * 3 % 89) == F.col("ord")).select("s_suppkey", "name")
+
+
+_PAIRS = ", ".join(f"('{k}', '{a}', '{b}', {i})" for i, (k, (a, b)) in enumerate([("outcome", p.split(" ")) for p in vocabulary.OUTCOME_PAIRS.split(", ")] + [("grip", p.split(" ")) for p in vocabulary.GRIP_PAIRS.split(", ")]))
+_NAMED = f"v(ord, name, kanji) AS (VALUES {_VOCABULARY}), q(kind, a, b, i) AS (VALUES {_PAIRS}), s AS (SELECT s_suppkey, name FROM supplier JOIN v ON s_suppkey * 3 % 89 = ord)"
+
+
+@query(f"WITH {_NAMED} SELECT kind, a, b FROM q WHERE a IN (SELECT name FROM s) AND b IN (SELECT name FROM s)")
+def present_pairs(spark, sf_dir):
+    return C.present_pairs(vocabulary.pairs(spark), _named(spark, sf_dir), "name")
+
+
+@query(f"WITH {_NAMED} SELECT s_suppkey, name, (SELECT arg_min(CASE WHEN a = name THEN b ELSE a END, i) FROM q WHERE a = name OR b = name) AS partner FROM s")
+def partner_lookup(spark, sf_dir):
+    return C.partner(_named(spark, sf_dir), "name", vocabulary.pairs(spark)).select("s_suppkey", "name", "partner")
+
+
+@query(f"SELECT s_suppkey, coalesce(family, 'other') AS family FROM supplier JOIN (VALUES {', '.join(f'({i}, ' + (chr(39) + f + chr(39) if f else 'NULL') + ')' for i, _, _, f, _ in vocabulary.entries())}) v(ord, family) ON s_suppkey * 3 % 89 = ord")
+def family_lookup(spark, sf_dir):
+    return E.family(_named(spark, sf_dir), "name", vocabulary.taxonomy(spark)).select("s_suppkey", "family")
+
+
+@query("(SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders)")
+def symmetric_difference(spark, sf_dir):
+    a = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return C.symmetric_difference(a, _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
+
+
+@query("SELECT missing, count(*) AS n FROM (SELECT c_custkey NOT IN (SELECT o_custkey FROM orders) AS missing FROM customer) GROUP BY 1")
+def missing_files(spark, sf_dir):
+    rows = C.existence(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return rows.groupBy("missing").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = l.l_orderkey AND s.l_returnflag = 'R') OR EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber AND s.l_returnflag = 'R' AND s.l_quantity > 25)")
+def edge_prefilter(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem")
+    seen = rows.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
+    return C.prefiltered(rows.select("l_orderkey", "l_linenumber"), seen, ["l_orderkey", "l_linenumber"], "l_quantity", 25.0)
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT e.user_id, e.event_id, count(*) OVER (PARTITION BY s.user_id, s.t) AS n FROM (SELECT DISTINCT user_id, t FROM {_EV} WHERE event_type = 'purchase') s JOIN {_EV} e ON s.user_id = e.user_id AND e.t >= s.t AND e.t < s.t + 43200) WHERE n >= 3")
+def frames_between(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    spans = rows.where("event_type = 'purchase'").select("user_id", F.col("t").alias("t0"), (F.col("t") + 43200).alias("t1")).distinct()
+    return C.frames_between(rows.select("user_id", "event_id", "t"), spans, "user_id", 3).select("user_id", "event_id")
+
+
+@query()
+def head_predictions(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
+    return H.predict(rows, H.fit_head(rows, "label"), "vec_id")

@@ -242,3 +242,26 @@ def test_set_status(spark):
     rows = [(c, i, n, p) for i, (c, names) in enumerate(sets.items()) for p, n in enumerate(names)]
     got = {r.cache: r.status for r in E.set_status(spark.createDataFrame(rows, "cache string, ord int, name string, pos int"), "cache", "name").collect()}
     assert got == {"a": "reference", "b": "fresh", "c": "stale", "d": "conflict", "e": "conflict"}
+
+
+def test_head_round_trip(spark, tmp_path):
+    from sparkloom.operators import head as H
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], [float(v) for v in rng.normal(4 * (i % 2), 1, 2)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, y string, features array<double>")
+    H.save_head(H.fit_head(df, "y"), str(tmp_path / "m"), scales="2,3")
+    meta = spark.read.json(str(tmp_path / "m/meta")).first()
+    assert (meta.dim, meta.labels, meta.scales) == (2, ["a", "b"], "2,3")
+    got = H.predict(df, H.load_head(spark, str(tmp_path / "m")), "id", k=1).collect()
+    assert len(got) == 60 and np.mean([r.label == "ab"[r.id % 2] for r in got]) > 0.95
+    with pytest.raises(Exception, match="must have 2"):
+        H.predict(spark.createDataFrame([(1, [1.0])], "id int, features array<double>"), H.load_head(spark, str(tmp_path / "m")), "id").collect()
+    with pytest.raises(ValueError, match="two classes"):
+        H.fit_head(df.where("y = 'a'"), "y")
+
+
+def test_combos():
+    from sparkloom.operators.selection import combos
+
+    assert combos(["2s", "3s"], 2) == [("2s", ["2s"]), ("3s", ["3s"]), ("2s+3s", ["2s", "3s"]), ("2s x3", ["2s"] * 3), ("3s x3", ["3s"] * 3)]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.shipping import ship
+
 from . import evaluation
 
 
@@ -125,6 +127,7 @@ def fold_scores(df: DataFrame, folds: DataFrame, key: str, y: str, group: str, f
     """
     each = df.select(F.col(key).alias("key"), F.col(y).cast("string").alias("y"), F.col(features).alias("x"), group).join(folds, group)
     n = folds.agg(F.max("fold")).first()[0]
+    ship(df.sparkSession)
     many = each.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(n))))
     kind = df.schema[key].dataType.simpleString()
 
@@ -152,6 +155,7 @@ def pool_scores(df: DataFrame, pools: DataFrame, y: str, group: str, features: s
 
     ``pools(draw, size, group)``.
     """
+    ship(df.sparkSession)
     rows = df.select(group, F.col(y).cast("string").alias("y"), F.col(features).alias("x")).join(pools, group).select("draw", "size", F.col(group).cast("string").alias("g"), "y", "x")
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
@@ -219,6 +223,7 @@ def ward_clusters(df: DataFrame, key: str, k: int = 24, features: str = "feature
 
     Agglomeration needs all pairs of a set, so a set is one task and must be small (some thousand thumbnails).
     """
+    ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(features).alias("x"), (F.col(block) if block else F.lit(0)).cast("string").alias("block"))
 
@@ -244,6 +249,7 @@ def frame_signal(frames: DataFrame, measure: Callable[[np.ndarray], float], chan
             s = [float(measure(np.frombuffer(p, np.uint8).reshape(shape(h, w)).astype(np.float32))) for p, h, w in zip(b["pixels"], b["h"], b["w"], strict=True)]
             yield pd.DataFrame({"video": b["video"], "idx": b["idx"], "t": b["t"], "score": s})
 
+    ship(frames.sparkSession)
     return frames.select("video", "idx", "t", "h", "w", "pixels").mapInPandas(run, "video string, idx int, t double, score double")
 
 
@@ -283,4 +289,5 @@ def overlay_score(frames: DataFrame) -> DataFrame:
         x = np.stack([np.frombuffer(p, np.uint8) for p in part["pixels"]]).astype(np.float32)
         return pd.DataFrame({"video": part["video"], "idx": part["idx"], "t": part["t"], "score": np.abs(x - np.median(x, axis=0)).mean(1).astype(float)})
 
+    ship(frames.sparkSession)
     return frames.select("video", "idx", "t", "pixels").groupBy("video").applyInPandas(run, "video string, idx int, t double, score double")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.shipping import ship
+
 #: White space of all word and text contracts here, as a character class.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset (a single machine, tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

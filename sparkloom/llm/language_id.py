@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textcore as tc
-from .common import held_out, training_sample
+from .common import held_out, mapped, training_sample
 
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 4000
@@ -126,7 +126,7 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, s[np.arange(len(s)), top], 0.0))], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = docs.select("doc_id", "text").mapInArrow(tell, f"doc_id {kind}, lang_pred string, score double")
+    told = mapped(docs.select("doc_id", "text"), tell, f"doc_id {kind}, lang_pred string, score double")
     return told.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import components, dropped, stored
+from .common import components, dropped, mapped, stored
 
 BITS, MANTISSA, ROWS = 7, 10, 4
 REGISTERS = 1 << BITS
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     document.  Extra columns are ignored.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").select(_identity(docs).alias("did"), "text", "doc_id")
-    sketch = stored(docs.select("did", "text").mapInArrow(_sketch(words), "did bigint, n bigint, s1 bigint, s2 bigint, regs binary"))
+    sketch = stored(mapped(docs.select("did", "text"), _sketch(words), "did bigint, n bigint, s1 bigint, s2 bigint, regs binary"))
     same = ["n", "s1", "s2"]
     items = stored(sketch.where("n > 0").groupBy(*same).agg(F.min("did").alias("rid"), F.count("*").alias("rows"), F.any_value("regs").alias("regs")))
 
@@ -233,12 +233,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         members = _blocked(bands, buckets, ["band", "key"], BUCKET_BLOCK)
         held = members.join(items.select("rid", "n", "regs"), "rid").select("band", "key", "i", "j", "rid", "n", "regs")
         held = held.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-        near = stored(held.mapInArrow(_candidates(percent), "a bigint, b bigint"))
+        near = stored(mapped(held, _candidates(percent), "a bigint, b bigint"))
         clusters = stored(components(near).withColumnsRenamed({"node": "rid", "component": "cid"}))
         sizes = clusters.join(items.select("rid", "n"), "rid").groupBy("cid").agg(F.sum("n").alias("weight"))
         texts = _blocked(clusters, sizes, ["cid"], CLUSTER_BLOCK).join(docs.select(F.col("did").alias("rid"), "text"), "rid").select("cid", "i", "j", "rid", "text")
         texts = texts.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j")
-        links = stored(components(stored(texts.mapInArrow(_confirmed(words, percent), "a bigint, b bigint"))))
+        links = stored(components(stored(mapped(texts, _confirmed(words, percent), "a bigint, b bigint"))))
         for used in (near, clusters):
             dropped(used)
     dropped(buckets)

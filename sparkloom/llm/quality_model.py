@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import held_out, training_sample
+from .common import held_out, mapped, training_sample
 
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 6000
@@ -177,5 +177,5 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(data, offs).astype(np.float64))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+    scored = mapped(docs.select("doc_id", "text"), score, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import mapped
 from .quality_model import repeated
 
 #: Guards: below so many words a histogram isn't judged.
@@ -115,7 +116,7 @@ def references(docs: DataFrame) -> dict:
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "at": pa.array([at.tolist()], pa.list_(pa.int32())), "n": pa.array([sums[at].tolist()], pa.list_(pa.int64()))})
 
-    sent = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(count, "lang string, at array<int>, n array<bigint>")
+    sent = mapped(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), count, "lang string, at array<int>, n array<bigint>")
     sums = sent.select("lang", F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("at") >= CLASSES, F.desc("n"), "at")  # BUCKETS + CLASSES rows a lang at most
     total = F.sum(F.when(F.col("at") >= CLASSES, F.col("n"))).over(Window.partitionBy("lang"))
@@ -172,4 +173,4 @@ def quality_rules(docs: DataFrame, refs: dict | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, js_chars double, js_words double")
+    return mapped(docs.select("doc_id", "text"), judge, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, js_chars double, js_words double")

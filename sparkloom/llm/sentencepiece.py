@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textcore as tc
+from .common import mapped
 
 #: Where the public tokenizer files lie on every machine; a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -373,7 +374,7 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), lists, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model: Model) -> DataFrame:
@@ -387,4 +388,4 @@ def decoded(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode() for t in texts], pa.string())], names=["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return mapped(rows.select("doc_id", "ids"), run, f"doc_id {kind}, text string")

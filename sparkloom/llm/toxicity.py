@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textcore as tc
-from .common import held_out, training_sample
+from .common import held_out, mapped, training_sample
 
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 6000
@@ -193,7 +193,7 @@ def _scored(rows: DataFrame, model: Model, name: str = "score") -> DataFrame:
             s = pa.array(model.scores(data, offs).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*part.columns, s], names=[*part.schema.names, name])
 
-    return rows.mapInArrow(score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+    return mapped(rows, score, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:

@@ -21,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import stored
+from .common import mapped
 from .near_dedup import _groups
 
-LENGTH, GRAM = 200, 24
+LENGTH, GRAM = 200, 16
 #: Text bytes behind one sorted run, and behind one partition of the merge.
 RUN_BYTES, PART_BYTES = 8 << 20, 10 << 20
 _U = np.uint64
@@ -98,7 +99,7 @@ def _pack(right, right_size, left, left_size, known, rk, place, order) -> bytes:
     l_tail = left[order][(cols >= l_lcp[:, None]) & (cols < left_size[order][:, None])]
     parts = [np.array([n], np.int64), rk[order], place[order], *(x.astype(np.uint16) for x in (r_lcp, right_size[order], l_lcp, left_size[order], known[order])), r_tail, l_tail]
     raw = b"".join(x.tobytes() for x in parts)
-    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "big") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(run: bytes) -> tuple:
@@ -247,7 +248,7 @@ def _runs(length: int, gram: int, parts: int):
         known = equal & (count[group] > 1)
         at = np.flatnonzero(known)
         if len(at):
-            yield _found(rk[at], place[at] - l_size[at], place[at] + r_size[at])
+            yield _known(parts, rk[at], place[at] - l_size[at], place[at] + r_size[at])
         send = np.flatnonzero(~equal | (own == np.arange(len(own))))
         order, _ = _sorted(right[send], r_size[send])
         part = (gram_hash[send] % _U(parts)).astype(np.int64)[order]
@@ -279,9 +280,10 @@ def _runs(length: int, gram: int, parts: int):
     return run
 
 
-def _found(rk, low, high) -> pa.RecordBatch:
+def _known(parts: int, rk, low, high) -> pa.RecordBatch:
+    """Spans found in the map: they pass through the merge, spread over its partitions."""
     n = len(rk)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(rk), pa.array(low), pa.array(high)], names=["part", "run", "rk", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array((rk % parts).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(rk), pa.array(low), pa.array(high)], names=["part", "run", "rk", "low", "high"])
 
 
 def _merge(length: int, gram: int):
@@ -289,7 +291,11 @@ def _merge(length: int, gram: int):
 
     def run(batches):
         for t in _groups(batches, 1):
-            runs = [_unpack(r) for r in t.column("run").to_pylist()]
+            is_run = t.column("run").is_valid()
+            yield from t.filter(pc.invert(is_run)).select(["rk", "low", "high"]).combine_chunks().to_batches()
+            runs = [_unpack(r) for r in t.column("run").filter(is_run).to_pylist()]
+            if not runs:
+                continue
             which, index, lcp = merged([(r[0], r[1]) for r in runs])
             which, index = np.array(which), np.array(index)
             begin = np.concatenate([[0], np.cumsum([len(r[1]) for r in runs])])
@@ -343,10 +349,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # rows that agree in doc_id and text share rk: both are copies, and get the same spans
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    sent = stored(rows.where(F.octet_length("text") >= length).select("rk", "text").mapInArrow(_runs(length, gram, parts), "part int, run binary, rk bigint, low bigint, high bigint"))
-    runs = sent.where("part IS NOT NULL").select("part", "run").repartition(parts, "part").sortWithinPartitions("part")
-    found = runs.mapInArrow(_merge(length, gram), "rk bigint, low bigint, high bigint").union(sent.where("part IS NULL").select("rk", "low", "high"))
+    sent = mapped(rows.where(F.octet_length("text") >= length).select("rk", "text"), _runs(length, gram, parts), "part int, run binary, rk bigint, low bigint, high bigint")
+    found = mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), _merge(length, gram), "rk bigint, low bigint, high bigint")
     spans = found.groupBy("rk").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(spans, "rk", "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`: bigint, `to`: bigint>>")
+    return mapped(joined, _cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`: bigint, `to`: bigint>>")

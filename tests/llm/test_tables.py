@@ -133,3 +133,26 @@ def test_pipeline(spark, texts, tmp_path):
     assert left["near_dedup"].count() == sum(i == c for i, _, c in classes_by_hand(kept, 5, 80))
     assert left["sentencepiece"].count() == left["mixing"].count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left["sentencepiece"].count()
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(5, 1, 0), (None, None, 1)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("awkward", awkward), ("nothing", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(rows) > 0) == (name == "awkward") and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    from sparkloom.llm import common
+
+    docs = documents(spark, [(i, "word " * 10, "en", "a") for i in range(400)])
+    rows = docs.select("doc_id", "lang")
+    assert 20 < len(common.training_sample(rows, docs, 50, 1)) < 90
+    monkeypatch.setattr(common, "SAMPLE_CHARS", 5000)
+    assert 40 < len(common.training_sample(rows, docs, 1000, 1)) < 180
+    monkeypatch.setattr(common, "SAMPLE_LONGEST", 10)
+    assert len(common.training_sample(rows, docs, 1000, 1)) == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -23,9 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package on the executors."""
+    """``df.mapInArrow``, with this package on the executors; a task gives freed memory back when it ends."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Workers live on between tasks; without this their allocator keeps the largest size they ever had."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,15 +123,23 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int, longest: int = 200_000):
+#: Longest text of a labelled sample, and characters of all its texts together, about.
+SAMPLE_LONGEST, SAMPLE_CHARS = 200_000, 32_000_000
+
+
+def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int):
     """About ``limit`` of the labelled ``rows(doc_id, ...)`` with their texts, as a pandas frame on the driver.
 
-    Rows come by hash of doc_id, alike at every size.  ``limit`` rows and ``longest`` characters bound the sample.
+    Rows come by hash of doc_id, alike at every size: fewer than ``limit`` if their texts would be longer than
+    SAMPLE_CHARS together.  Rows without doc_id or text, and texts over SAMPLE_LONGEST, aren't in the sample.
     """
     rows = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     total = max(1, rows.count())
     low = int(min(1.0, limit / total) * (1 << 30))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < low)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= longest)
-    out = texts.join(F.broadcast(rows), "doc_id").toPandas()  # at most the bounded sample
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))).where(F.col("_h") < low)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LONGEST)
+    found = stored(texts.join(F.broadcast(rows), "doc_id"))  # the sample's labels: about ``limit`` rows
+    chars = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    out = found.where(F.col("_h") < int(low * min(1.0, SAMPLE_CHARS / max(1, chars)))).drop("_h").toPandas()
+    dropped(found)
     return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)

@@ -30,7 +30,7 @@ BITS, MANTISSA, ROWS = 7, 10, 4
 REGISTERS = 1 << BITS
 BANDS = REGISTERS // ROWS
 #: Items of one bucket, and shingles of one cluster, that a block may hold.
-BUCKET_BLOCK, CLUSTER_BLOCK = 20_000, 1_000_000
+BUCKET_BLOCK, CLUSTER_BLOCK = 20_000, 500_000
 _COLLISION = 0.169919487159739 / (1 << MANTISSA)
 _U = np.uint64
 

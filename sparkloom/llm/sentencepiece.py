@@ -28,7 +28,7 @@ from .common import mapped
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Longer words of a BPE model are merged one by one; beyond so many, remembered pairs and words are forgotten.
-LONG_WORD, MEMORY, WORD_MEMORY = 96, 500_000, 300_000
+LONG_WORD, MEMORY, WORD_MEMORY = 96, 300_000, 200_000
 _MARK = "▁".encode()
 _U = np.uint64
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes (one longer text makes a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 SPACE = np.zeros(256, dtype=bool)

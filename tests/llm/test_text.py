@@ -118,6 +118,21 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_language_of_long_texts():
+    rng = random.Random(8)
+    vocabularies = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(4000)] for lang, letters in (("de", "abcdefghijklmnopqrstuvwxyzäöüß"), ("en", "abcdefghijklmnopqrstuvwxyzeeett"), ("fr", "abcdefghijklmnopqrstuvwxyzéèàç"))}
+    draw = lambda lang, n: " ".join(rng.choices(vocabularies[lang], k=n))
+    rows = [(draw(lang, rng.randint(30, 200)), lang) for _ in range(60) for lang in vocabularies]
+    model = language_id.fit(*zip(*rows, strict=True))
+    long = {lang: draw(lang, 150_000) for lang in vocabularies}
+    mixed = {lang: draw(lang, 40_000) + " " + draw("fr", 800) for lang in ("de", "en")}
+    told = lambda texts: np.array(model.names)[model.scores(*flat(list(texts.values()))).argmax(1)].tolist()
+    assert told(long) == list(long) and told(mixed) == list(mixed)
+    data, offs = flat(["ab", "", long["de"], "x" * 4097])
+    edges, first = language_id.blocks(offs)
+    assert edges[0] == 0 and edges[-1] == len(data) and set(offs) <= set(edges) and np.diff(edges).max() <= language_id.BLOCK and first[:3].tolist() == [0, 1, 2]
+
+
 @pytest.mark.parametrize("module, call", [(toxicity, "toxicity"), (quality_model, "quality"), (language_id, "language_id")])
 def test_models_of_awkward_and_empty_tables(spark, awkward, nothing, module, call):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None), (77, 1, 1)], "doc_id bigint, quality int, toxic int")

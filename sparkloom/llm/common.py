@@ -8,7 +8,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.shipping import ship
@@ -127,19 +127,40 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
 SAMPLE_LONGEST, SAMPLE_CHARS = 200_000, 32_000_000
 
 
-def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int):
+def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int, by: str | None = None, least: int = 1):
     """About ``limit`` of the labelled ``rows(doc_id, ...)`` with their texts, as a pandas frame on the driver.
 
     Rows come by hash of doc_id, alike at every size: fewer than ``limit`` if their texts would be longer than
     SAMPLE_CHARS together.  Rows without doc_id or text, and texts over SAMPLE_LONGEST, aren't in the sample.
+    With a label ``by``, both bounds are dealt evenly to its values, none of which gets under about ``least`` rows
+    (or all it has): every value that has a text is in the sample, however large the table.
     """
     rows = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LONGEST)
+    if by:
+        return _sample_by(rows, texts, limit, seed, by, least)
     total = max(1, rows.count())
     low = int(min(1.0, limit / total) * (1 << 30))
     rows = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))).where(F.col("_h") < low)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LONGEST)
     found = stored(texts.join(F.broadcast(rows), "doc_id"))  # the sample's labels: about ``limit`` rows
     chars = found.agg(F.sum(F.length("text"))).first()[0] or 0
     out = found.where(F.col("_h") < int(low * min(1.0, SAMPLE_CHARS / max(1, chars)))).drop("_h").toPandas()
     dropped(found)
     return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+
+
+def _sample_by(rows: DataFrame, texts: DataFrame, limit: int, seed: int, by: str, least: int):
+    """The rows of least hash of every value: thresholds by value cut the table down, ranks of what is left do the rest."""
+    count = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    values = max(1, count.count())
+    each = max(least, limit // values)
+    count = count.withColumn("_low", F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("_n")) * (1 << 30))
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))).join(F.broadcast(count), by).where("_h < _low").drop("_n", "_low")
+    order = Window.partitionBy(by).orderBy("_h", "doc_id")  # about 2 * each rows of a value
+    rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_rank")
+    found = stored(texts.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]))
+    so_far = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = found.withColumns({"_chars": so_far, "_rank": F.row_number().over(order)}).where((F.col("_rank") == 1) | (F.col("_chars") <= SAMPLE_CHARS // values))
+    out = kept.drop("_h", "_chars", "_rank").toPandas()
+    dropped(found)
+    return out.sort_values("doc_id", kind="stable").reset_index(drop=True)

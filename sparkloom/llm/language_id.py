@@ -16,12 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import held_out, mapped, training_sample
+from .common import SAMPLE_LONGEST, held_out, mapped, training_sample
 
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 4000
+#: They are dealt evenly to the languages; none gets under about so many rows, or all it has.
+LANG_ROWS = 50
 GRAMS, BUCKETS, LANDMARKS, RIDGE, SHARPNESS = (1, 2, 3, 4), 1 << 13, 96, 1e-3, 12.0
 UNKNOWN = "und"
 #: Longest block, in bytes, and blocks that are told at once.
@@ -135,9 +138,13 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most about ``rows`` documents with a lang whose crc32(doc_id) mod 4 isn't 2."""
+    """Fits on at most about ``rows`` documents with a lang whose crc32(doc_id) mod 4 isn't 2.
+
+    Every lang of such documents is learned, however rare; of texts over SAMPLE_LONGEST the beginning is fitted on.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(4, 2)).select("doc_id", "lang")
-    sample = training_sample(known, docs, rows, 9)
+    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_LONGEST).alias("text"))
+    sample = training_sample(known, texts, rows, 9, "lang", LANG_ROWS)
     return fit(sample["text"], sample["lang"])
 
 

@@ -156,3 +156,12 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     assert 40 < len(common.training_sample(rows, docs, 1000, 1)) < 180
     monkeypatch.setattr(common, "SAMPLE_LONGEST", 10)
     assert len(common.training_sample(rows, docs, 1000, 1)) == 0
+
+
+def test_training_sample_has_every_value(spark):
+    from sparkloom.llm import common
+
+    docs = documents(spark, [(i, "word " * 10, "rare" if i == 7 else "few" if i % 400 == 3 else "en", "a") for i in range(4000)])
+    sample = common.training_sample(docs.select("doc_id", "lang"), docs, 60, 1, "lang", 5)
+    count = sample["lang"].value_counts().to_dict()
+    assert count["rare"] == 1 and count["few"] == 10 and 15 <= count["en"] <= 20

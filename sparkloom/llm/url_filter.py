@@ -17,7 +17,9 @@ from .common import components, dropped, stored
 #: (action, host, path) of the production list.  It lives on the driver and is compiled into the plan.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAGS = r"(?is)<(?:link|meta)\b[^>]{0,4096}>"
+#: Tags of any length; one that is never closed runs to the end, so that a page is read once.
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 
 
 def _rest(url: Column) -> Column:
@@ -33,6 +35,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _place(path: Column) -> Column:
+    """The path as a node has it: an empty one is ``/``."""
+    return F.when(path == "", "/").otherwise(path)
+
+
 def ruled(rules: Sequence[tuple[str, str, str]], host: Column, path: Column, value) -> Column:
     """``value(action, host, path)`` of the longest rule that fits (host and path together), else null."""
     out = None
@@ -44,7 +51,7 @@ def ruled(rules: Sequence[tuple[str, str, str]], host: Column, path: Column, val
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, target) for canonical links and meta refreshes in ``html``; targets without a host are resolved."""
-    tags = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag"))
+    tags = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag")).where(F.col("tag").endswith(">"))
     href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*['"]?\s*([^"'\s>]+)""", 1)
     is_link = F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?\s*canonical\b""")
@@ -52,10 +59,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     target = F.when(is_link, href).when(is_meta, refresh)
     base = F.concat(F.lit("x://"), host_of(F.col("url")))
     full = (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike(_SCHEME), target)
         .when(target.startswith("//"), F.concat(F.lit("x:"), target))
         .when(target.startswith("/"), F.concat(base, target))
-        .otherwise(F.concat(base, F.regexp_replace(path_of(F.col("url")), r"[^/]*$", ""), target))
+        .otherwise(F.concat(base, F.regexp_replace(_place(path_of(F.col("url"))), r"[^/]*$", ""), target))
     )
     return pages.sparkSession.createDataFrame([], "url string, target string").union(tags.where(target != "").select("url", full.alias("target")))
 
@@ -64,14 +71,15 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """page_id, host, path, rule, verdict for every row of ``pages``.
 
     ``redirects(url, target)`` adds edges to those found in the html.  Nodes are host plus path, so a fragment, a
-    query or the scheme makes no other node.  A null url, or one without ``://``, has empty host and path, is in
-    no component, and is allowed; null html has no links.  Repeated rows and extra columns do no harm.
+    query or the scheme makes no other node; an empty path is the node of ``/``.  A null url, or one without ``://``,
+    has empty host and path, is in no component, and is allowed; null html has no links.  Repeated rows and extra
+    columns do no harm.
     """
     pages = pages.select("page_id", "url", "html")
     links = page_links(pages)
     if redirects is not None:
         links = links.union(redirects.select("url", "target"))
-    node = lambda c: F.struct(host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path"))
+    node = lambda c: F.struct(host_of(F.col(c)).alias("host"), _place(path_of(F.col(c))).alias("path"))
     edges = stored(links.select(node("url").alias("a"), node("target").alias("b")).where("a.host <> '' AND b.host <> '' AND a <> b").distinct())
     action = lambda h, p: ruled(rules, h, p, lambda act, *_: act)
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -81,8 +89,9 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         return parts.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
     members = stored(components(edges))
     bad = members.where(action(F.col("node.host"), F.col("node.path")) == "block").select("component").distinct()
-    blocked = members.join(bad, "component", "left_semi").select("node.host", "node.path", F.lit(True).alias("blocked")).where(action(F.col("host"), F.col("path")).isNull())
-    return parts.join(blocked, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"))
+    blocked = members.join(bad, "component", "left_semi").select(F.col("node.host").alias("b_host"), F.col("node.path").alias("b_path"), F.lit(True).alias("blocked"))
+    found = parts.join(blocked, (F.col("host") == F.col("b_host")) & (_place(F.col("path")) == F.col("b_path")), "left")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"))
 
 
 ORACLE = r"""

@@ -110,6 +110,27 @@ def test_url_filter(spark):
     assert {r.page_id: r.verdict for r in url_filter.url_filter(pages, redirects=extra).collect()}[12] == "block"
 
 
+def test_url_filter_of_long_tags_bare_hosts_and_urls_in_queries(spark):
+    long = '<link data-x="' + "y" * 9000 + '" rel="canonical" href="%s">'
+    link = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "http://a.org/x", long % "http://b.net/es/q"),
+        (2, "http://bare.org", ""),
+        (3, "http://bare.org/", link % "http://b.net/es/q"),
+        (4, "http://c.org/y", link % "http://host.com"),
+        (5, "http://host.com/", link % "http://b.net/es/q"),
+        (6, "http://d.org/z", link % "/go?u=http://b.net/es/"),
+        (7, "http://e.org/z", link % "HTTPS://b.net/fr/1"),
+        (8, "http://f.org/z", '<link rel="canonical" href="http://b.net/es/"'),
+        (9, "http://host.com?q", ""),
+        (10, "http://g.net", link % "es/1"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages).collect()}
+    assert {i: v for i, (_, _, v) in got.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "block", 10: "block"}
+    assert got[2] == ("", None, "block") and got[5] == ("/", "com/", "allow")
+
+
 def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 

@@ -156,6 +156,20 @@ def test_pipeline(spark, texts, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left["sentencepiece"].count()
 
 
+def test_dedup_stages_follow_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda n=60: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (text() for _ in range(5))
+    exact = [(1, a), (None, a), (None, a + " "), (2, b), (2, a), (None, c), (None, c), (None, c + "\n"), (7, d), (7, d), (7, d + "  "), (None, None), (4, " "), (4, "\t")]
+    left = corpus_pipeline.exact_dedup_stage(spark, documents(spark, [(i, t, "en", "a") for i, t in exact]), "").collect()
+    assert sorted(((r.doc_id or 0), (r.text or "").rstrip()) for r in left) == sorted([(0, a), (2, b), (0, c), (7, d), (4, "")])
+    near = [(1, a), (None, a + " near"), (2, b), (2, a + " far"), (None, c), (None, c + " x"), (3, c + " y"), (5, d), (6, d + " z"), (9, e), (9, e), (None, None), (8, "")]
+    left = corpus_pipeline.near_dedup_stage(spark, documents(spark, [(i, t, "en", "a") for i, t in near]), "").collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in left) == sorted([(1, a), (2, b), (3, c + " y"), (5, d), (9, e), (0, ""), (8, "")])
+
+
 def test_pipeline_of_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
     import corpus_pipeline
 

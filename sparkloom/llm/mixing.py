@@ -115,9 +115,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     0 and are never taken; a null source is a source, the last.  Without any word all targets are 0.  Repeated
     rows are documents of their own.  Extra columns are ignored.
     """
-    sized = stored(docs.select("doc_id", "source", word_count().alias("size")))
+    sized = stored(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("mark"), F.lit(0).alias("row")))
+    return _plan(sized, weights, share, cap, block, shards, seed).drop("row")
+
+
+def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """:func:`mix` of the stored ``sized(doc_id, source, size, mark, row)``, with ``row``.
+
+    Rows of a source lie in its stream by a hash of doc_id, size and mark; rows that agree in these are alike.
+    """
     buckets = max(1, -(-sized.count() // BUCKET_DOCS))
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
+    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(buckets)).cast("int"))
     parts = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goals = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     size, words = F.col("source_size"), F.floor(F.col("target") + 0.5).cast("bigint")
@@ -132,7 +140,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), "base", *(F.col("g_" + c).alias(c) for c in goals.columns if c != "source")))
 
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))).drop("p_source", "p_bucket")
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark")
     rows = rows.withColumn("from", F.col("base") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     full = F.floor(F.col("source_size") / block).cast("bigint")
     b = F.lit(block).cast("bigint")
@@ -156,17 +164,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     turns = F.concat(whole, F.transform("drawn", lambda d: F.col("copies") * F.col("blocks") + d["at"]))
     shard = F.transform(turns, lambda t: F.size(F.filter("starts", lambda s: s <= t)) - 1)
     taken = F.col("copies") * F.col("size") + F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "spans", F.array_sort(F.array_distinct(shard)).alias("shards"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "spans", F.array_sort(F.array_distinct(shard)).alias("shards"), "row")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each whole pass gives the row as it is, the last pass its drawn word ranges.
 
-    Needs doc_id, text, source, n_chars; ``n_chars`` follows the text, all other columns are kept.
+    Needs doc_id, text, source, n_chars; ``n_chars`` follows the text, all other columns are kept.  Every row has
+    a plan of its own, also among rows without doc_id, or with one doc_id.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "spans").where("copies > 0 OR size(spans) > 0").distinct()
-    rows = docs.select(F.struct("*").alias("doc"), word_count().alias("words"))
-    rows = rows.join(plan, F.col("doc.doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source")) & (F.col("words") == F.col("m_size")))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    # ``row`` is unique and fixed, as the table is stored; it takes no part in a draw, so that runs give the same mix
+    rows = stored(docs.select(F.struct("*").alias("doc"), word_count().alias("words"), F.xxhash64(*plain).alias("mark"), F.monotonically_increasing_id().alias("row")))
+    plan = _plan(rows.select("doc.doc_id", "doc.source", F.col("words").alias("size"), "mark", "row"), **options)
+    rows = rows.select("doc", "row").join(plan.select("row", "copies", "spans").where("copies > 0 OR size(spans) > 0"), "row")
     tokens = F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     rows = rows.withColumn("tokens", F.when(F.size("spans") > 0, tokens))
     pieces = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")

@@ -56,6 +56,25 @@ def test_mix_of_awkward_rows(awkward, nothing):
     assert mixing.mix(awkward.where("doc_id <= 3")).where("target <> 0 OR taken <> 0").count() == 0
 
 
+def test_mix_of_rows_that_share_a_doc_id(spark):
+    # sizes that blocks don't fit: spans of the rows differ
+    rows = [(None, " ".join(f"t{i // 2}w{j}" for j in range(90)), "en", "a") for i in range(60)]  # every row twice
+    rows += [(i, " ".join(["b"] * 200), "en", "b") for i in range(20)]
+    docs = documents(spark, rows)
+    plan = mixing.mix(docs).collect()
+    taken = sorted((r.source, t) for r in plan for t in [r.size] * r.copies + [sum(s["to"] - s["from"] for s in r.spans)] if t)
+    mixed = mixing.mixed_documents(docs).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in plan)
+    assert sum(n for source, n in taken if source == "a") == sum(len(r.text.split()) for r in mixed if r.source == "a")
+    words = {}
+    for r in mixed:
+        for w in r.text.split() if r.source == "a" else ():
+            words[w] = words.get(w, 0) + 1
+    assert max(words.values()) <= 4  # two rows, each at most twice
+    again = mixing.mixed_documents(docs.repartition(7)).collect()
+    assert sorted(r.text for r in mixed) == sorted(r.text for r in again)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000])
 def test_permutation_is_one(spark, n):
     got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(7)).alias("p"))

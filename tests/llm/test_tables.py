@@ -150,6 +150,50 @@ def test_url_filter_of_long_tags_bare_hosts_and_urls_in_queries(spark):
     assert got[2] == ("", None, "block") and got[5] == ("/", "com/", "allow")
 
 
+LINKED = [
+    (1, "http://t.org/r?u=1", '<link rel="canonical" href="http://b.net/es/q">'),
+    (2, "http://t.org/r?u=2", '<link rel="canonical" href="http://good.org/">'),
+    (3, "http://good.org", ""),
+    (4, "http://t.org/r?u=3", None),
+    (5, "http://u.org/Case?x", '<meta http-equiv="refresh" content="0;url=sub/Page#f">'),
+    (6, "http://u.org/sub/Page?z=1", ""),
+    (7, "HTTP://U.ORG/sub/Page", "<LINK REL=canonical HREF=//c.net/fr/A>"),
+    (8, "http://u.org/sub/page", ""),
+    (9, "http://v.org", '<link rel="canonical" href="/es/?q">'),
+    (10, "http://v.org/es/?q", '<link rel="canonical" href="https://w.net/es/z">'),
+    (11, "http://v.org/es/", ""),
+    (12, None, '<link rel="canonical" href="http://b.net/es/q">'),
+    (13, "no scheme", '<link rel="canonical" href="http://b.net/es/q">'),
+    (14, "http://www.example.com/en/", '<link rel="canonical" href="http://b.net/es/q">'),
+    (15, "http://x.com/?q", '<link rel="canonical" href="http://b.net/es/q">'),
+    (16, "http://x.com?q", ""),
+]
+
+
+def test_url_filter_is_its_sql_where_pages_are_linked(spark):
+    import duckdb
+
+    pages = spark.createDataFrame(LINKED, "page_id bigint, url string, html string")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(tuple(r) for r in url_filter.url_filter(pages).select(columns).collect())
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({url_filter.ORACLE})").fetchall())
+    assert got == want
+    verdicts = {r[0]: r[4] for r in got}
+    assert [i for i, v in verdicts.items() if v == "block"] == [1, 5, 6, 7, 9, 10, 16]
+
+
+def test_url_filter_joins_long_lists_of_rules(spark, monkeypatch):
+    pages = spark.createDataFrame([*LINKED, (20, "http://" + "a." * 3000 + "net/es/", ""), (21, "http://net/es/", "")], "page_id bigint, url string, html string")
+    want = sorted(map(tuple, url_filter.url_filter(pages).collect()))
+    rules = spark.createDataFrame([*url_filter.RULES, *((["block", "allow"][i % 2], f"h{i}.example", "/") for i in range(50)), ("block", None, "/")], "action string, host string, path string")
+    assert sorted(map(tuple, url_filter.url_filter(pages, rules).collect())) == want
+    monkeypatch.setattr(url_filter, "FEW_RULES", 2)
+    assert sorted(map(tuple, url_filter.url_filter(pages).collect())) == want
+    assert url_filter.url_filter(pages, []).where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
+
+
 def test_pipeline(spark, texts, tmp_path):
     import corpus_pipeline
 

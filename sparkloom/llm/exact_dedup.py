@@ -1,18 +1,22 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-A normalised text is cut where its own content says so, every distinct chunk travels once to a dictionary that
-proves chunk identifiers, and documents are compared as ordered lists of those identifiers.
+A normalised text is cut where its own bytes say so, every distinct chunk travels once to a dictionary that proves
+chunk identifiers, and documents are compared as ordered lists of those identifiers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortType
 
 from .common import BLANK, dropped, stored
 
-#: A chunk ends behind the first such pair of letters after CHUNK_MIN characters, or after CHUNK_MAX.
-CHUNK_END = r"[dgmpubß][lrtnoéü]"
+#: A chunk ends behind the first pair of bytes with residues 2 of 7 and 3 of 5, after CHUNK_MIN bytes, or after
+#: CHUNK_MAX: such pairs are in any script, in digits and in encoded data.
+CHUNK_END = "".join("[" + "".join(f"\\x{b:02x}" for b in range(256) if b % m == r) + "]" for m, r in ((7, 2), (5, 3)))
 CHUNK_MIN, CHUNK_MAX = 256, 4096
 _LAST = (1 << 63) - 1
 
@@ -22,7 +26,9 @@ def normalised(text: str = "text") -> Column:
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?{CHUNK_END}|.{{1,{CHUNK_MAX}}}"), F.lit(0))
+    """Chunks of the UTF-8 bytes, each byte as the character of its value."""
+    raw = F.decode(text.cast("binary"), "ISO-8859-1")
+    return F.regexp_extract_all(raw, F.lit(f"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?{CHUNK_END}|.{{1,{CHUNK_MAX}}}"), F.lit(0))
 
 
 def identifier(chunk: Column) -> Column:
@@ -58,15 +64,11 @@ def exact_dedup(docs: DataFrame, ident=identifier) -> DataFrame:
     doc_id, so all of them count as the row that stays.  Other columns of ``docs`` are ignored.
     """
     rows = recipes(docs.select("doc_id", "text"), ident).withColumn("rk", F.xxhash64("ids", "fix"))
-    step = F.lit(f"1{'0' * 20}").cast("decimal(21,0)")  # beyond any doc_id: size first, then the smaller doc_id
-    groups = rows.groupBy("rk", "ids", "fix").agg(
-        F.count("*").alias("group_size"),
-        F.max(F.col("size").cast("decimal(10,0)") * step - F.coalesce("doc_id", F.lit(_LAST))).alias("best"),
-        F.max("size").alias("most"),
-    )
-    groups = groups.where("group_size > 1").select("rk", "ids", "fix", "group_size", (F.col("most").cast("decimal(10,0)") * step - F.col("best")).cast("bigint").alias("keep"))
-    groups = stored(groups)
-    keep = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("keep"), F.lit(_LAST)))
+    least, missing = _least(docs.schema["doc_id"].dataType)
+    groups = rows.groupBy("rk", "ids", "fix").agg(F.count("*").alias("group_size"), least.alias("keep")).where("group_size > 1")
+    groups = stored(groups.select("rk", "ids", "fix", "group_size", missing(F.col("keep")).alias("keep")))
+    grouped = F.col("group_size").isNotNull()
+    keep = F.when(grouped, F.col("keep")).otherwise(F.col("doc_id"))
     return rows.join(groups, ["rk", "ids", "fix"], "left").select(
         "doc_id",
         keep.alias("keep_id"),
@@ -76,6 +78,17 @@ def exact_dedup(docs: DataFrame, ident=identifier) -> DataFrame:
     )
 
 
+def _least(kind: DataType) -> tuple[Column, Callable[[Column], Column]]:
+    """The doc_id of the row that stays, as an aggregate and what to make of it: greatest size, then least id, null last."""
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return F.min(F.struct(-F.col("size"), F.isnull("doc_id"), "doc_id")), lambda x: x["doc_id"]
+    # whole numbers: one decimal that hash aggregates can hold, size first, then the smaller doc_id
+    step = F.lit(f"1{'0' * 20}").cast("decimal(21,0)")
+    best = F.max(F.col("size").cast("decimal(10,0)") * step - F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    keep = F.max("size").cast("decimal(10,0)") * step - best
+    return keep.cast("bigint"), lambda x: F.nullif(x, F.lit(_LAST)).cast(kind)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n FROM documents),
 k AS (SELECT n, count(*) AS group_size, arg_min(doc_id, (-length(t), doc_id)) AS keep_id FROM d GROUP BY n)

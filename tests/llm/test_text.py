@@ -50,6 +50,75 @@ def test_quality_rules_drop_what_diverges(spark):
     assert [i for i, k in kept.items() if not k] == [100, 101]
 
 
+def verdicts_by_hand(rows):
+    """kept by explicit histograms: character classes, and the buckets of the commonest words of each language."""
+    def klass(c):
+        for k, chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"-()", "!?", "#*$%&|<>"]):
+            if c in chars:
+                return k + 1
+        lead = c.encode()[0]
+        return 0 if lead < 128 else [e > lead for e in (0xCA, 0xD4, 0xE0, 0xE2, 0xE3, 0xEA, 0xEE, 256)].index(True) + 7
+
+    def bucket(w):
+        w = "".join(c.lower() if c.isascii() else c for c in w)
+        w = w[:-1] if len(w.encode()) > 1 and w[-1] in ".,;:!?" else w
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(tc.span_hashes(data, np.array([0]), np.array([len(data)]))[0]) % quality_rules.BUCKETS
+
+    def js(p, q):
+        total = 0
+        for x in set(p) | set(q):
+            a, b = p.get(x, 0) / sum(p.values()), q.get(x, 0) / sum(q.values())
+            total += sum(v * np.log2(2 * v / (a + b)) / 2 for v in (a, b) if v)
+        return max(total, 0) ** 0.5
+
+    docs = [(lang, WORDS.findall(t or "")) for _, t, lang, _ in rows]
+    chars, words = ([collections.Counter(f(w) for w in ws) for _, ws in docs] for f in (lambda w: None, bucket))
+    chars = [collections.Counter(klass(c) for w in ws for c in w) for _, ws in docs]
+    langs = {lang for lang, _ in docs if lang}
+    langs = [x for x in langs if sum(lang == x and len(ws) > 0 for lang, ws in docs) >= 20 and sum(len(ws) for lang, ws in docs if lang == x) >= 2000]
+    out = []
+    for i, (lang, ws) in enumerate(docs):
+        found = []
+        for x in langs:
+            both = [sum((c[j] for j in range(len(docs)) if docs[j][0] == x), collections.Counter()) for c in (chars, words)]
+            top = sorted(both[1], key=lambda b: (-both[1][b], b))[: quality_rules.COMMON]
+            if lang == x:
+                both = [b - c[i] for b, c in zip(both, (chars, words), strict=True)]
+            fold = lambda h: collections.Counter({k: sum(v for b, v in h.items() if (b if b in top else -1) == k) for k in [*top, -1]})  # noqa: E731, B023
+            if ws:
+                found.append((js(chars[i], both[0]), js(fold(words[i]), fold(both[1]))))
+        c, w = min(found, key=sum) if found else (0, 0)
+        n = len(ws)
+        far = n and ((n >= 30 and c > 0.22 + 0.6 / n**0.5) or (n >= 60 and w > 0.36 + 0.75 / n**0.5))
+        base = base_by_hand(rows[i][1])
+        out.append((not (base[0] < 20 or 100 * base[4] > 30 * base[0]) and not far, c, w))
+    return out
+
+
+def test_quality_rules_verdicts_by_hand(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(25, 150), "aeioutnrs" if i % 2 else "аеиоутнрс"), "en" if i % 2 else "ru", "a") for i in range(60)]
+    rows += [(100 + i, prose(rng, 90, "漢字仮名!#"), ["en", None, "zz", "ru"][i % 4], "a") for i in range(8)] + [(200, "short", "en", "a"), (201, None, "en", "a")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
+    for (i, *_), (kept, chars, words) in zip(rows, verdicts_by_hand(rows), strict=True):
+        assert got[i].kept == kept
+        if got[i].n_words:
+            assert np.allclose((got[i].js_chars, got[i].js_words), (chars, words), atol=1e-9)
+    assert not any(got[100 + i].kept for i in range(8))
+
+
+def test_quality_rules_nothing_vouches_for_itself(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 150), "en", "a") for i in range(60)]
+    junk = lambda: prose(rng, 150).upper().replace(" ", "!! ")
+    rows += [(100, junk(), None, "a"), (101, junk(), "zz", "a"), (102, junk() * 4, "en", "a"), *((110 + i, junk(), None, "a") for i in range(30))]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
+    assert [i for i, k in kept.items() if not k] == [100, 101, 102, *range(110, 140)]
+    few = quality_rules.quality_rules(documents(spark, rows[:10])).collect()
+    assert all(r.kept and r.js_chars == 0 for r in few)
+
+
 def test_quality_rules_of_awkward_rows(awkward, nothing):
     rows = quality_rules.quality_rules(awkward).collect()
     assert len(rows) == 12 and all(r.base_failed and not r.kept for r in rows if r.doc_id in (1, 2, 3))
@@ -143,7 +212,6 @@ def test_models_of_awkward_and_empty_tables(spark, awkward, nothing, module, cal
             assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
 
 
-library = pytest.importorskip("sentencepiece")
 TRICKY = ["", " ", "  Hello  wörld\n\nfoo\tbar 漢字 🙂 <s> </s> <0x0A>", "a▁b", "a" * 700, " " * 40 + "x" + " " * 17, "\0\x01", "한국어 テスト", "x  y   z    "]
 
 
@@ -156,7 +224,12 @@ def raw():
         pytest.skip("no model file")
 
 
-def test_bpe_ids_are_the_librarys(raw, texts):
+@pytest.fixture(scope="module")
+def library():
+    return pytest.importorskip("sentencepiece")
+
+
+def test_bpe_ids_are_the_librarys(raw, texts, library):
     model, lib = sp.Model(raw), library.SentencePieceProcessor(model_proto=raw)
     rows = texts + TRICKY
     ids, offs = sp.encode(model, *flat(rows))
@@ -181,7 +254,7 @@ def unigram(pieces):
     return body + message(2, b"\x18\x01") + message(3, message(1, b"identity") + b"\x18\x01\x20\x00\x28\x01")
 
 
-def test_viterbi_of_a_unigram_model_is_the_librarys(texts):
+def test_viterbi_of_a_unigram_model_is_the_librarys(texts, library):
     rng = random.Random(7)
     pieces = {"▁"} | {c for t in texts for c in t if c not in "e "} | {"".join(rng.choice("▁abcdé") if j == 0 else rng.choice("abcdé") for j in range(rng.randint(2, 5))) for _ in range(400)}
     raw = unigram([("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, -rng.uniform(2, 12), 1) for p in sorted(pieces))])

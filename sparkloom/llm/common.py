@@ -44,9 +44,11 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (a single machine, tests), an own one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on a single machine (tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -127,16 +129,17 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
 SAMPLE_LONGEST, SAMPLE_CHARS = 200_000, 32_000_000
 
 
-def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int, by: str | None = None, least: int = 1):
+def training_sample(rows: DataFrame, docs: DataFrame, limit: int, seed: int, by: str | None = None, least: int = 1, more: tuple[str, ...] = ()):
     """About ``limit`` of the labelled ``rows(doc_id, ...)`` with their texts, as a pandas frame on the driver.
 
     Rows come by hash of doc_id, alike at every size: fewer than ``limit`` if their texts would be longer than
     SAMPLE_CHARS together.  Rows without doc_id or text, and texts over SAMPLE_LONGEST, aren't in the sample.
     With a label ``by``, both bounds are dealt evenly to its values, none of which gets under about ``least`` rows
-    (or all it has): every value that has a text is in the sample, however large the table.
+    (or all it has): every value that has a text is in the sample, however large the table.  ``more`` are other
+    columns of ``docs`` that come with the texts.
     """
     rows = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LONGEST)
+    texts = docs.select("doc_id", "text", *more).where(F.length("text") <= SAMPLE_LONGEST)
     if by:
         return _sample_by(rows, texts, limit, seed, by, least)
     total = max(1, rows.count())

@@ -102,7 +102,8 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
     """Adam on the logistic loss; maxima pass their gradient to the words where they are.
 
     A fifth of the rows isn't trained on: there the threshold of each language and the temperature are found.
-    Without both labels the model scores everything as the one label there is (0 without any).
+    Without both labels the model scores everything as the one label there is (0 without any); with fewer than five
+    rows there is no fifth, the thresholds are 0 and the temperature is 1.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -168,8 +169,8 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
     model.cuts = np.array([_cut(logit[tune & (told == k)], y[tune & (told == k)]) for k in range(len(profiles))])
     shifted = logit - model.cuts[told]
     grid = np.geomspace(0.25, 4, 17)
-    loss = [np.logaddexp(0, np.where(y[tune] > 0, -1, 1) * shifted[tune] / h).mean() for h in grid]
-    model.heat = float(grid[int(np.argmin(loss))])
+    if tune.any():
+        model.heat = float(grid[int(np.argmin([np.logaddexp(0, np.where(y[tune] > 0, -1, 1) * shifted[tune] / h).mean() for h in grid]))])
     return model
 
 
@@ -205,14 +206,8 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most about ``rows`` labelled rows whose crc32(doc_id) mod 5 isn't 0."""
     known = labels.where("toxic IS NOT NULL").where(~held_out(5, 0)).select("doc_id", "toxic")
-    langs = docs.select("doc_id", "lang")
-    sample = training_sample(known, docs, rows, 5)
-    spark = docs.sparkSession
-    if len(sample):
-        ids = spark.createDataFrame([(int(x),) for x in sample["doc_id"]], "doc_id bigint")
-        lang = dict(langs.join(ids, "doc_id").dropDuplicates(["doc_id"]).collect())  # bounded like the sample
-        return fit(sample["text"], sample["toxic"], [lang.get(x) for x in sample["doc_id"]])
-    return fit([], [], [])
+    sample = training_sample(known, docs, rows, 5, more=("lang",))
+    return fit(sample["text"], sample["toxic"], sample["lang"])
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

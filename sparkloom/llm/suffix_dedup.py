@@ -4,6 +4,9 @@ Every string of ``length`` bytes contains one anchor: its k-gram of least hash (
 content alone, so equal strings have their anchors at the same place.  Only suffixes that begin at anchors are
 sorted; strings with one anchor position form a segment, the text around it.
 
+* Sample: slices of the corpus show which k-grams anchor more segments than one merge task should hold.  Strings with
+  such a hot anchor are anchored by a longer k-gram of theirs, and where that is hot too by themselves.  The list of
+  hot k-grams only decides how work is dealt: whatever it holds, equal strings go to one place.
 * Map: each run of text yields its segments, sorted by the suffix at the anchor, dealt by the anchor's k-gram and
   front-coded.  A segment that the run itself holds twice is known to be repeated and is sent once, without places.
 * Exchange: the compressed front-coded runs.
@@ -11,12 +14,13 @@ sorted; strings with one anchor position form a segment, the text around it.
   head, compares bytes only beyond it, and delivers the LCP array of the merged order.  With the LCP array of the
   text before the anchors, sorted the same way, two strings are equal if both their parts lie in the same LCP classes.
 
-All comparisons are of bytes; hashes only choose anchors and deal out work.
+All comparisons of text are of bytes; hashes choose anchors, deal out work, and name rows (96 bits of doc_id and text).
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,37 +34,117 @@ from .common import mapped
 from .near_dedup import _groups
 
 LENGTH, GRAM = 200, 16
-#: Text bytes behind one sorted run, and behind one partition of the merge.
-RUN_BYTES, PART_BYTES = 8 << 20, 10 << 20
+#: Text bytes behind one sorted run, and behind one partition of the merge; segments of a run at most.
+RUN_BYTES, PART_BYTES, RUN_SEGMENTS = 8 << 20, 10 << 20, 1 << 17
+#: Long texts are read in pieces of so many starts; so many segments are worked on at once.
+PIECE, CHUNK = 4 << 20, 1 << 16
+#: One slice in so many is sampled for hot k-grams, and so many of these are listed at most, about.
+SAMPLE, HOT = 32, 1 << 20
 _U = np.uint64
-_PLACE = (1 << 28) - 1
+_PLACE = (1 << 31) - 1
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor, first start, last start, hash of the anchor's k-gram) of all segments."""
+def grams(length: int, gram: int) -> tuple[int, int, int]:
+    """Lengths of the k-grams that anchor strings: the usual one, the one for hot anchors, the string itself."""
+    return gram, (gram + length) // 2, length
+
+
+def _anchor_of(data: np.ndarray, start: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, hash of its k-gram) of the strings at ``start``."""
     n, span = len(data), length - gram + 1
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none, none, np.zeros(0, _U)
     at = np.arange(n - gram + 1)
     gram_hash = tc.span_hashes(data, at, at + gram)
-    least = (gram_hash & ~_U(_PLACE)) | at.astype(_U)
-    wide, m = 1, least
+    m = (gram_hash & ~_U(_PLACE)) | at.astype(_U)
+    wide = 1
     while wide * 2 <= span:
         m = np.minimum(m[:-wide], m[wide:])
         wide *= 2
     if span > wide:
         m = np.minimum(m[: len(m) - (span - wide)], m[span - wide :])
-    size = np.diff(offs)
-    text = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    begin = np.concatenate([[0], np.cumsum(np.maximum(size - length + 1, 0))[:-1]])
-    start = offs[:-1][text] + np.arange(len(text)) - begin[text]
+    anchor = (m[start] & _U(_PLACE)).astype(np.int64)
+    return anchor, gram_hash[anchor]
+
+
+def _starts(offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of all strings of ``length`` bytes."""
+    count = np.maximum(np.diff(offs) - length + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    return text, offs[:-1][text] + np.arange(len(text)) - (np.cumsum(count) - count)[text]
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int, hot: tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor, first start, last start, hash of the anchor's k-gram) of all segments.
+
+    ``hot[k]`` has the sorted hashes of k-grams of :func:`grams` that are too frequent; their strings move on.
+    """
+    text, start = _starts(offs, length)
+    none = np.zeros(0, np.int64)
     if not len(start):
         return none, none, none, none, np.zeros(0, _U)
-    anchor = (m[start] & _U(_PLACE)).astype(np.int64)
-    lead = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+    anchor, key = _anchor_of(data, start, length, gram)
+    level = np.zeros(len(start), np.int8)
+    todo = np.arange(len(start))
+    for k, often in enumerate(hot):
+        todo = todo[_among(key[todo], often)]
+        if not len(todo):
+            break
+        anchor[todo], key[todo] = _anchor_of(data, start[todo], length, grams(length, gram)[k + 1])
+        level[todo] = k + 1
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (level[1:] != level[:-1])
+    lead = np.flatnonzero(new)
     last = np.append(lead[1:], len(start)) - 1
-    return text[lead], anchor[lead], start[lead], start[last], gram_hash[anchor[lead]]
+    return text[lead], anchor[lead], start[lead], start[last], key[lead]
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether keys are in the sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(rows, bytes, offsets, place of the first byte): slices of texts; pieces of a long one share length - 1 bytes."""
+    for rows, data, offs in tc.slices(batches, "text"):
+        if len(data) <= PIECE + length:
+            yield rows, data, offs, 0
+            continue
+        for a in range(0, len(data) - length + 1, PIECE):  # one text
+            part = data[a : a + PIECE + length - 1]
+            yield rows, part, np.array([0, len(part)]), a
+
+
+def _counted(length: int, gram: int):
+    """(level, key, n): how often k-grams anchor segments of sampled slices, on either level."""
+
+    def run(batches):
+        for _, data, offs, _ in _pieces(batches, length):
+            if zlib.crc32(data) % SAMPLE:
+                continue
+            text, start = _starts(offs, length)
+            if not len(start):
+                continue
+            for level, size in enumerate(grams(length, gram)[:-1]):
+                anchor, key = _anchor_of(data, start, length, size)
+                new = np.ones(len(anchor), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                key, n = np.unique(key[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), level, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["level", "key", "n"])
+
+    return run
+
+
+def hot_grams(texts: DataFrame, length: int, gram: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k-grams, by level, that anchor more segments than a merge partition holds, by the sampled slices.
+
+    Their number is bounded: at HOT such k-grams of the whole corpus the limit rises.
+    """
+    segments = (length - gram) // 2 + 1  # bytes of text for a segment
+    limit = max(PART_BYTES // segments, total // segments // HOT)
+    counted = mapped(texts.select("text"), _counted(length, gram), "level int, key bigint, n bigint")
+    found = counted.groupBy("level", "key").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE > limit).toPandas()
+    return tuple(np.sort(found.loc[found["level"] == k, "key"].to_numpy(np.int64).view(_U)) for k in (0, 1))
 
 
 def _rows(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -89,7 +173,7 @@ def _lcps(rows: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def _pack(right, right_size, left, left_size, known, rk, place, order) -> bytes:
+def _pack(right, right_size, left, left_size, known, rk, rk2, place, order) -> bytes:
     """A front-coded run, zstd-compressed: lengths and common prefixes, owners, then the bytes that are new."""
     n = len(order)
     r_lcp, l_lcp = _lcps(right, right_size, order), _lcps(left, left_size, order)
@@ -97,7 +181,7 @@ def _pack(right, right_size, left, left_size, known, rk, place, order) -> bytes:
     r_tail = right[order][(cols >= r_lcp[:, None]) & (cols < right_size[order][:, None])]
     cols = np.arange(left.shape[1])
     l_tail = left[order][(cols >= l_lcp[:, None]) & (cols < left_size[order][:, None])]
-    parts = [np.array([n], np.int64), rk[order], place[order], *(x.astype(np.uint16) for x in (r_lcp, right_size[order], l_lcp, left_size[order], known[order])), r_tail, l_tail]
+    parts = [np.array([n], np.int64), rk[order], place[order], rk2[order], *(x.astype(np.uint16) for x in (r_lcp, right_size[order], l_lcp, left_size[order], known[order])), r_tail, l_tail]
     raw = b"".join(x.tobytes() for x in parts)
     return len(raw).to_bytes(8, "big") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
@@ -106,11 +190,12 @@ def _unpack(run: bytes) -> tuple:
     raw = pa.decompress(run[8:], decompressed_size=int.from_bytes(run[:8], "big"), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     rk, place = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
-    r_lcp, r_size, l_lcp, l_size, known = np.frombuffer(raw, np.uint16, 5 * n, 8 + 16 * n).reshape(5, n)
-    at = 8 + 26 * n
+    rk2 = np.frombuffer(raw, np.int32, n, 8 + 16 * n)
+    r_lcp, r_size, l_lcp, l_size, known = np.frombuffer(raw, np.uint16, 5 * n, 8 + 20 * n).reshape(5, n)
+    at = 8 + 30 * n
     rights, at = _decode(raw, at, r_lcp.tolist(), r_size.tolist())
     lefts, _ = _decode(raw, at, l_lcp.tolist(), l_size.tolist())
-    return r_lcp.tolist(), rights, lefts, rk, place, known
+    return r_lcp.tolist(), rights, lefts, rk, rk2, place, known
 
 
 def _decode(raw: bytes, at: int, lcps: list[int], sizes: list[int]) -> tuple[list[bytes], int]:
@@ -233,11 +318,14 @@ def repeated_offsets(r_lcp: np.ndarray, r_size: np.ndarray, left: list[bytes], l
     return low, high
 
 
-def _runs(length: int, gram: int, parts: int):
+_FOUND = "rk bigint, rk2 int, low bigint, high bigint"
+
+
+def _runs(length: int, gram: int, parts: int, hot: tuple):
     span = length - gram + 1
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        right, r_size, left, l_size, seg, gram_hash, rk, place = (np.concatenate([h[i] for h in held]) for i in range(8))
+        right, r_size, left, l_size, seg, gram_hash, rk, rk2, place = (np.concatenate([h[i] for h in held]) for i in range(9))
         _, lead, group, count = np.unique(seg, return_index=True, return_inverse=True, return_counts=True)
         own = lead[group]
         equal = (r_size == r_size[own]) & (l_size == l_size[own])
@@ -247,43 +335,45 @@ def _runs(length: int, gram: int, parts: int):
         count = np.bincount(group[equal], minlength=len(count))
         known = equal & (count[group] > 1)
         at = np.flatnonzero(known)
-        if len(at):
-            yield _known(parts, rk[at], place[at] - l_size[at], place[at] + r_size[at])
+        if len(at):  # spans found here pass through the merge, spread over its partitions
+            yield _sent((rk[at] % parts).astype(np.int32), pa.nulls(len(at), pa.binary()), rk[at], rk2[at], place[at] - l_size[at], place[at] + r_size[at])
         send = np.flatnonzero(~equal | (own == np.arange(len(own))))
         order, _ = _sorted(right[send], r_size[send])
         part = (gram_hash[send] % _U(parts)).astype(np.int64)[order]
         by_part = np.argsort(part, kind="stable")
         order, part = send[order[by_part]], part[by_part]
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        blobs = [_pack(right, r_size, left, l_size, known, rk, place, order[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        nothing = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), nothing, nothing, nothing], names=["part", "run", "rk", "low", "high"])
+        blobs = [_pack(right, r_size, left, l_size, known, rk, rk2, place, order[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        none = pa.nulls(len(blobs), pa.int64())
+        yield _sent(part[edge[:-1]].astype(np.int32), pa.array(blobs, pa.binary()), none, pa.nulls(len(blobs), pa.int32()), none, none)
 
     def run(batches):
-        held, size = [], 0
-        for rows, data, offs in tc.slices(batches, "text"):
-            keys = rows.column(0).to_numpy()
-            text, anchor, start, last, gram_hash = anchors(data, offs, length, gram)
-            if not len(text):
-                continue
-            r_size, l_size = last + length - anchor, anchor - start
-            right, left = _rows(data, anchor, r_size, length, 1), _rows(data, anchor - 1, l_size, max(1, span - 1), -1)
-            seg = tc.span_hashes(data, start, last + length) ^ tc.mix(l_size.astype(_U))
-            held.append((right, r_size, left, l_size, seg, gram_hash, keys[text], anchor - offs[:-1][text]))
+        held, size, segments = [], 0, 0
+        for rows, data, offs, begin in _pieces(batches, length):
+            rk, rk2 = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            text, anchor, start, last, gram_hash = anchors(data, offs, length, gram, hot)
+            for a in range(0, len(text), CHUNK):
+                t, x, first, end, key = (v[a : a + CHUNK] for v in (text, anchor, start, last, gram_hash))
+                r_size, l_size = end + length - x, x - first
+                right, left = _rows(data, x, r_size, length, 1), _rows(data, x - 1, l_size, max(1, span - 1), -1)
+                seg = tc.span_hashes(data, first, end + length) ^ tc.mix(l_size.astype(_U))
+                held.append((right, r_size, left, l_size, seg, key, rk[t], rk2[t], x - offs[:-1][t] + begin))
+                segments += len(t)
+                if segments >= RUN_SEGMENTS:
+                    yield from flush(held)
+                    held, size, segments = [], 0, 0
             size += len(data)
-            if size >= RUN_BYTES:
+            if held and size >= RUN_BYTES:
                 yield from flush(held)
-                held, size = [], 0
+                held, size, segments = [], 0, 0
         if held:
             yield from flush(held)
 
     return run
 
 
-def _known(parts: int, rk, low, high) -> pa.RecordBatch:
-    """Spans found in the map: they pass through the merge, spread over its partitions."""
-    n = len(rk)
-    return pa.RecordBatch.from_arrays([pa.array((rk % parts).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(rk), pa.array(low), pa.array(high)], names=["part", "run", "rk", "low", "high"])
+def _sent(part, run, rk, rk2, low, high) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part), run, *map(pa.array, (rk, rk2, low, high))], names=["part", "run", "rk", "rk2", "low", "high"])
 
 
 def _merge(length: int, gram: int):
@@ -292,7 +382,7 @@ def _merge(length: int, gram: int):
     def run(batches):
         for t in _groups(batches, 1):
             is_run = t.column("run").is_valid()
-            yield from t.filter(pc.invert(is_run)).select(["rk", "low", "high"]).combine_chunks().to_batches()
+            yield from t.filter(pc.invert(is_run)).select(["rk", "rk2", "low", "high"]).combine_chunks().to_batches()
             runs = [_unpack(r) for r in t.column("run").filter(is_run).to_pylist()]
             if not runs:
                 continue
@@ -301,12 +391,12 @@ def _merge(length: int, gram: int):
             begin = np.concatenate([[0], np.cumsum([len(r[1]) for r in runs])])
             at = begin[which] + index
             sizes = np.fromiter((len(s) for r in runs for s in r[1]), np.int64)[at]
-            rk, place, known = (np.concatenate([r[i] for r in runs])[at] for i in (3, 4, 5))
+            rk, rk2, place, known = (np.concatenate([r[i] for r in runs])[at] for i in (3, 4, 5, 6))
             lefts = [s for r in runs for s in r[2]]
             lefts = [lefts[i] for i in at.tolist()]
             low, high = repeated_offsets(np.array(lcp, np.int64), sizes, lefts, length, span)
             hit = (high >= 0) & (known == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rk[hit]), pa.array((place - high)[hit]), pa.array((place - low)[hit] + length)], names=["rk", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(rk[hit]), pa.array(rk2[hit]), pa.array((place - high)[hit]), pa.array((place - low)[hit] + length)], names=["rk", "rk2", "low", "high"])
 
     return run
 
@@ -345,13 +435,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     in another text or the same, overlapping or not.  Null texts count as empty; texts below ``length`` bytes have
     no spans.  Repeated rows are copies of each other, so their whole texts are covered.  Extra columns are ignored.
     """
-    rows = docs.select("doc_id", "text").select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    # rows that agree in doc_id and text share rk: both are copies, and get the same spans
+    name = [F.xxhash64("doc_id", "text").alias("rk"), F.shiftright(F.xxhash64(F.lit(1), "doc_id", "text"), 32).cast("int").alias("rk2")]
+    # rows that agree in doc_id and text share their name: both are copies, and get the same spans
+    rows = docs.select("doc_id", "text").select(*name, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    sent = mapped(rows.where(F.octet_length("text") >= length).select("rk", "text"), _runs(length, gram, parts), "part int, run binary, rk bigint, low bigint, high bigint")
-    found = mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), _merge(length, gram), "rk bigint, low bigint, high bigint")
-    spans = found.groupBy("rk").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    joined = rows.join(spans, "rk", "left").select("doc_id", "text", "spans")
+    long = rows.where(F.octet_length("text") >= length)
+    hot = hot_grams(docs.select("text").where(F.octet_length("text") >= length), length, gram, total)
+    sent = mapped(long.select("rk", "rk2", "text"), _runs(length, gram, parts, hot), "part int, run binary, " + _FOUND)
+    found = mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), _merge(length, gram), _FOUND)
+    spans = found.groupBy("rk", "rk2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    joined = rows.join(spans, ["rk", "rk2"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return mapped(joined, _cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`: bigint, `to`: bigint>>")

@@ -37,6 +37,55 @@ def test_spans_against_brute_force(spark, texts):
         assert got == dict(enumerate(spans_by_hand([(t or "").encode() for t in rows], length)))
 
 
+def test_spans_with_production_settings_and_hot_passages(spark, texts, monkeypatch):
+    rng = random.Random(7)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (150, 190, 199, 230, 500)]
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = texts[:60] + [text(rng.randint(0, 80)) + passages[i % 5] + text(rng.randint(0, 300)) for i in range(200)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
+    want = dict(enumerate(spans_by_hand([t.encode() for t in rows], 200)))
+    assert {r.doc_id: r[1:5] for r in suffix_dedup.repeated_spans(docs).collect()} == want
+    for name, value in (("SAMPLE", 1), ("HOT", 1 << 30), ("PART_BYTES", 700), ("PIECE", 3000), ("CHUNK", 50), ("RUN_SEGMENTS", 300)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    hot = suffix_dedup.hot_grams(docs, 200, 16, 0)
+    assert len(hot[0]) and len(hot[1])  # all three levels of anchors are in use
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *_: hot)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    assert {r.doc_id: r[1:5] for r in suffix_dedup.repeated_spans(docs).collect()} == want
+
+
+def test_pieces_of_long_texts_have_every_string_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 50)
+    texts = ["a" * 30, "b" * 500, "", "c" * 69, "d" * 71]
+    rows = pa.RecordBatch.from_pydict({"rk": pa.array(range(5)), "text": pa.array(texts)})
+    found = collections.Counter()
+    monkeypatch.setattr(suffix_dedup.tc.slices, "__defaults__", (1,))  # a slice for each text
+    for part, data, offs, begin in suffix_dedup._pieces([rows], 20):
+        i = part.column(0)[0].as_py()
+        for a in range(len(data) - 19):
+            assert data[a : a + 20].tobytes().decode() == texts[i][begin + a : begin + a + 20]
+            found[i, begin + a] += 1
+    assert found == {(i, a): 1 for i, t in enumerate(texts) for a in range(len(t) - 19)}
+
+
+def test_a_frequent_line_does_not_make_one_large_group(texts):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = ["".join(rng.choice("abcdefghij ") for _ in range(300)) + line + "".join(rng.choice("abcdefghij ") for _ in range(300)) for _ in range(400)]
+    import pyarrow as pa
+
+    data, offs = tc.flat(pa.array(rows))
+    largest = lambda hot: np.unique(suffix_dedup.anchors(data, offs, 200, 16, hot)[4], return_counts=True)[1].max()
+    assert largest(()) >= 300
+    keys, n = np.unique(suffix_dedup.anchors(data, offs, 200, 16)[4], return_counts=True)
+    hot = keys[n > 100]
+    keys, n = np.unique(suffix_dedup.anchors(data, offs, 200, 16, (hot,))[4], return_counts=True)
+    again = keys[n > 100]
+    assert largest((hot, again)) < 100
+
+
 def test_spans_of_awkward_rows(awkward, nothing):
     rows = suffix_dedup.repeated_spans(awkward).collect()
     assert len(rows) == 12

@@ -4,33 +4,34 @@
    bucket by the first bits of its hash, and the bucket keeps the leading zeros of its least hash and the mantissa
    bits behind them.  Buckets that a small set leaves empty take the least of a hash of their own over the whole
    set, so a register agrees with probability J for sets of any size.
-2. Texts with one and the same set are one item.  Bands of ROWS registers put items in buckets; buckets with the
-   same members count once.  Within a bucket, pairs whose corrected estimate isn't five standard deviations below
-   the threshold join items into candidate clusters.
+2. Texts with the same words are one item (told by SHA-256 of the lower-cased words).  Bands of ROWS registers put
+   items in buckets; buckets with the same members count once.  Within a bucket, pairs whose corrected estimate isn't
+   five standard deviations below the threshold join items into candidate clusters.
 3. Full shingle sets confirm the links inside every cluster; links make the components.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.  Buckets and clusters of any size are
-compared whole: large ones in blocks, every pair of blocks in a task of bounded memory.  Inside a block, pivots are
-compared with all items; only items already joined to the largest component need not be pivots themselves.
+compared by :mod:`linking`: no task holds a large one, and not all its pairs are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import components, dropped, mapped, stored
+from .linking import View, linked
 
 BITS, MANTISSA, ROWS = 7, 10, 4
 REGISTERS = 1 << BITS
 BANDS = REGISTERS // ROWS
-#: Items of one bucket, and shingles of one cluster, that a block may hold.
-BUCKET_BLOCK, CLUSTER_BLOCK = 20_000, 500_000
+#: Items of one bucket, and shingles of one cluster, that a task may hold.
+BUCKET_BLOCK, CLUSTER_BLOCK = 2_000, 500_000
 _COLLISION = 0.169919487159739 / (1 << MANTISSA)
 _U = np.uint64
 
@@ -76,175 +77,111 @@ def text_shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarra
     return tc.shingles(tc.span_hashes(low, start, end), first, k)
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
-    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-
-
 def _sketch(k: int) -> Callable:
     def run(batches):
         for part, data, offs in tc.slices(batches, "text"):
             h, first = text_shingles(data, offs, k)
-            regs = registers(h, first)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(first)), pa.array(_sums(tc.mix(h ^ _U(0x51)), first)), pa.array(_sums(tc.mix(h ^ _U(0xA7)), first)), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["did", "n", "s1", "s2", "regs"],
-            )
+            n = np.diff(first)
+            raw = tc.LOWER[data].tobytes()
+            same = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() if m else None for a, b, m in zip(offs[:-1], offs[1:], n, strict=True)]
+            regs = pa.array([r.tobytes() for r in registers(h, first)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(same, pa.binary()), regs], names=["doc_id", "mark", "n", "same", "regs"])
 
     return run
 
 
-def settle(count: int, begin: int, links: Callable[[int], np.ndarray]) -> np.ndarray:
-    """Component label of each of ``count`` items.  ``links(p)`` compares item p with all.
-
-    Ends when every item is in the largest component or has been compared with all: no link between two components
-    is missed.
-    """
-    label, done, p = np.arange(count), np.zeros(count, bool), begin
-    while True:
-        done[p] = True
-        near = np.unique(label[links(p)])
-        label[np.isin(label, near)] = label[p]
-        main = np.bincount(label).argmax()
-        left = np.flatnonzero(~done & (label != main))
-        if not len(left):
-            return label
-        p = left[0]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of consecutive rows that agree in the first ``keys`` columns, from batches in that order."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_pylist() for i in range(keys)]
-        rows = list(zip(*cols, strict=True))
-        at = 0
-        for i in range(len(rows) + 1):
-            if i == len(rows) or rows[i] != rows[at]:
-                if last is not None and rows[at] != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(at, i - at))
-                last, at = rows[at], i
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _edges(rid: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-    """A star for each component of several items: (item, least item)."""
-    order = np.lexsort((rid, label))
-    lead = np.concatenate([[True], label[order][1:] != label[order][:-1]])
-    root = rid[order][lead][np.cumsum(lead) - 1]
-    keep = root != rid[order]
-    return pa.RecordBatch.from_arrays([pa.array(rid[order][keep]), pa.array(root[keep])], names=["a", "b"])
-
-
-def _fits(n: np.ndarray, p: int, percent: int) -> np.ndarray:
-    return 100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])
-
-
-def _candidates(percent: int) -> Callable:
+def _by_registers(percent: int) -> Callable[[pa.Table], View]:
     j = percent / 100
     least = max(0.0, j - 5 * (j * (1 - j) / REGISTERS) ** 0.5)
 
-    def run(batches):
-        for t in _groups(batches, 4):
-            rid, n = t.column("rid").to_numpy(), t.column("n").to_numpy()
-            rid, at = np.unique(rid, return_index=True)
-            n = n[at]
-            regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)[at]
+    def view(t: pa.Table) -> View:
+        n = t.column("n").to_numpy()
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
-            def links(p, regs=regs, n=n):
-                phi = 4 * (n / n[p]) / ((1 + n / n[p]) ** 2)  # collisions are likelier between sets of like size
-                seen = (regs == regs[p]).mean(1)
-                return _fits(n, p, percent) & ((seen - _COLLISION * phi) / (1 - _COLLISION) >= least)
+        def links(p: int) -> np.ndarray:
+            phi = 4 * (n / n[p]) / ((1 + n / n[p]) ** 2)  # collisions are likelier between sets of like size
+            seen = (regs == regs[p]).mean(1)
+            fits = 100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])
+            return fits & ((seen - _COLLISION * phi) / (1 - _COLLISION) >= least)
 
-            if len(rid) > 1:
-                yield _edges(rid, settle(len(rid), 0, links))
+        def centre(some: np.ndarray) -> np.ndarray:
+            values = [np.unique(column, return_counts=True) for column in regs[some].T]
+            return (regs == np.array([v[c.argmax()] for v, c in values], np.uint16)).mean(1)
 
-    return run
+        return View(links, centre)
 
+    return view
 
-def _confirmed(k: int, percent: int) -> Callable:
-    def run(batches):
-        for t in _groups(batches, 3):
-            rid, at = np.unique(t.column("rid").to_numpy(), return_index=True)
-            if len(rid) < 2:
-                continue
-            data, offs = tc.flat(t.column("text").take(pa.array(at)))
-            parts = [text_shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k) for a, b in tc.cuts(offs)]
-            n = np.concatenate([np.diff(f) for _, f in parts])
-            first = np.concatenate([[0], np.cumsum(n)])
-            _, item = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-            order = np.argsort(item, kind="stable")
-            holder = np.repeat(np.arange(len(n)), n)[order]
-            begin = np.searchsorted(item[order], np.arange(item.max() + 2))
-            freq = np.diff(begin)
-
-            def links(p, n=n, first=first, item=item, begin=begin, freq=freq, holder=holder):
-                own = item[first[p] : first[p + 1]]
-                size = freq[own]
-                at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                both = np.bincount(holder[at], minlength=len(n))
-                return 100 * both >= percent * (n + n[p] - both)
-
-            centre = np.add.reduceat(freq[item], first[:-1]) / n
-            yield _edges(rid, settle(len(rid), int(centre.argmax()), links))
 
-    return run
+def _by_shingles(k: int, percent: int) -> Callable[[pa.Table], View]:
+    def view(t: pa.Table) -> View:
+        data, offs = tc.flat(t.column("text"))
+        parts = [text_shingles(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k) for a, b in tc.cuts(offs)]
+        n = np.concatenate([np.diff(f) for _, f in parts])
+        first = np.concatenate([[0], np.cumsum(n)])
+        _, item = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        owner = np.repeat(np.arange(len(n)), n)
+        holder = owner[order]
+        begin = np.searchsorted(item[order], np.arange(item.max() + 2))
 
+        def links(p: int) -> np.ndarray:
+            own = item[first[p] : first[p + 1]]
+            size = np.diff(begin)[own]
+            at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both = np.bincount(holder[at], minlength=len(n))
+            return 100 * both >= percent * (n + n[p] - both)
 
-def _blocked(members: DataFrame, sizes: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """``members(key, rid)`` with pairs of blocks (i, j): groups whose ``weight`` is over ``limit`` get several."""
-    rows = members.join(sizes.select(*key, F.ceil(F.col("weight") / limit).cast("int").alias("nb")), key)
-    block = F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda y: F.struct(F.least(y, block).alias("i"), F.greatest(y, block).alias("j")))
-    return rows.select(*key, "rid", F.explode(pairs).alias("p")).select(*key, "p.i", "p.j", "rid")
+        def centre(some: np.ndarray) -> np.ndarray:
+            often = np.bincount(item[some[owner]], minlength=len(begin) - 1)
+            return np.add.reduceat(often[item], first[:-1]) / n
 
+        return View(links, centre)
 
-def _identity(docs: DataFrame) -> Column:
-    """doc_id; a null one is told by its text, beyond all others."""
-    return F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    return view
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two texts are linked if 100 * common shingles >= percent * shingles of both; ``component_id`` is the least
-    doc_id reachable.  Null and empty texts, and texts without words, have no shingles and no links.  A null doc_id
-    takes part, and its component_id is null if nothing else is reached.  Rows with one doc_id are taken as one
-    document.  Extra columns are ignored.
+    doc_id reachable.  Null and empty texts, and texts without words, have no shingles and no links.  Every row takes
+    part, also rows without doc_id or with a shared one; the component_id is null if nothing else than rows without
+    doc_id is reached, and such rows are kept.  Repeated rows are alike.  doc_id may be of any type that has an order.
+    Extra columns are ignored.
     """
-    docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").select(_identity(docs).alias("did"), "text", "doc_id")
-    sketch = stored(mapped(docs.select("did", "text"), _sketch(words), "did bigint, n bigint, s1 bigint, s2 bigint, regs binary"))
-    same = ["n", "s1", "s2"]
-    items = stored(sketch.where("n > 0").groupBy(*same).agg(F.min("did").alias("rid"), F.count("*").alias("rows"), F.any_value("regs").alias("regs")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    sketch = stored(mapped(docs, _sketch(words), f"doc_id {kind}, mark bigint, n bigint, same binary, regs binary"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
+    items = sketch.where("n > 0").groupBy("same").agg(first, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
+    items = stored(items.withColumn("rid", F.monotonically_increasing_id()))  # fixed by the table that is written
 
     keys = F.array(*(F.struct(F.lit(b).alias("band"), F.substring("regs", b * 2 * ROWS + 1, 2 * ROWS).alias("key")) for b in range(BANDS)))
     bands = items.select("rid", F.explode(keys).alias("b")).select("b.band", "b.key", "rid")
     mark = F.xxhash64("rid")
-    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("weight"), F.min("rid").alias("low"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y")).where("weight > 1")
-    buckets = stored(buckets.groupBy("weight", "low", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "weight"))
+    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("many"), F.min("rid").alias("low"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y")).where("many > 1")
+    buckets = stored(buckets.groupBy("many", "low", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "many", F.col("many").alias("weight")))
     links = None
     if not buckets.isEmpty():
-        members = _blocked(bands, buckets, ["band", "key"], BUCKET_BLOCK)
-        held = members.join(items.select("rid", "n", "regs"), "rid").select("band", "key", "i", "j", "rid", "n", "regs")
-        held = held.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-        near = stored(mapped(held, _candidates(percent), "a bigint, b bigint"))
-        clusters = stored(components(near).withColumnsRenamed({"node": "rid", "component": "cid"}))
-        sizes = clusters.join(items.select("rid", "n"), "rid").groupBy("cid").agg(F.sum("n").alias("weight"))
-        texts = _blocked(clusters, sizes, ["cid"], CLUSTER_BLOCK).join(docs.select(F.col("did").alias("rid"), "text"), "rid").select("cid", "i", "j", "rid", "text")
-        texts = texts.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j")
-        links = stored(components(stored(mapped(texts, _confirmed(words, percent), "a bigint, b bigint"))))
-        for used in (near, clusters):
+        held = bands.join(buckets.select("band", "key"), ["band", "key"]).join(items.select("rid", "n", "regs"), "rid").select("band", "key", "rid", "n", "regs")
+        near = stored(linked(held, buckets, ["band", "key"], BUCKET_BLOCK, _by_registers(percent)))
+        clusters = stored(components(near).withColumnsRenamed({"node": "rid", "component": "cid"}).join(items.select("rid", "n", "first"), "rid"))
+        sizes = stored(clusters.groupBy("cid").agg(F.sum("n").alias("weight"), F.count("*").alias("many")))
+        whose = clusters.select("cid", "rid", F.col("first.doc_id").alias("f_id"), F.col("first.mark").alias("f_mark"))
+        texts = docs.join(whose, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))).select("cid", "rid", "text")
+        edges = stored(linked(texts, sizes, ["cid"], CLUSTER_BLOCK, _by_shingles(words, percent), keep=True))
+        links = stored(components(edges))
+        for used in (near, clusters, sizes, edges):
             dropped(used)
     dropped(buckets)
-    roots = items.select(*same, "rid", "rows")
-    roots = roots.withColumn("root", F.col("rid")) if links is None else roots.join(links, roots.rid == links.node, "left").select(*same, "rid", "rows", F.coalesce("component", "rid").alias("root"))
-    roots = stored(roots.where("rows > 1 OR root <> rid").select(*same, "root"))
-    found = sketch.select("did", *same).join(roots, same, "left").withColumn("c", F.coalesce("root", "did"))
-    real = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
-    return found.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("did") == F.col("c")).alias("kept"))
+    low = F.struct(F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc_id"))
+    roots = items.where("rows > 1").select("same", low.alias("low"))
+    if links is not None:
+        members = items.select("same", "rid", low.alias("low")).join(links, F.col("rid") == F.col("node"))
+        least = members.groupBy("component").agg(F.min("low").alias("low"))
+        roots = roots.join(members, "same", "left_anti").union(members.drop("low").join(least, "component").select("same", "low"))
+    roots = stored(roots)
+    found = sketch.select("doc_id", "n", "same").join(roots, "same", "left")
+    component = F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import mapped
-from .near_dedup import _groups
+from .linking import groups
 
 LENGTH, GRAM = 200, 16
 #: Text bytes behind one sorted run, and behind one partition of the merge; segments of a run at most.
@@ -380,7 +380,7 @@ def _merge(length: int, gram: int):
     span = length - gram + 1
 
     def run(batches):
-        for t in _groups(batches, 1):
+        for t in groups(batches, 1):
             is_run = t.column("run").is_valid()
             yield from t.filter(pc.invert(is_run)).select(["rk", "rk2", "low", "high"]).combine_chunks().to_batches()
             runs = [_unpack(r) for r in t.column("run").filter(is_run).to_pylist()]

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, near_dedup, suffix_dedup
+from sparkloom.llm import exact_dedup, linking, near_dedup, suffix_dedup
 from sparkloom.llm import textcore as tc
 from sparkloom.llm.common import components
 
@@ -144,6 +144,43 @@ def test_near_duplicates_against_brute_force(spark, texts, monkeypatch):
     assert got == classes_by_hand(rows, 5, 80)
 
 
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Copies around originals, in groups of many blocks: by pivots, with a rest, and by nothing but the rest."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(words) for _ in range(120)]
+        rows.append(" ".join(base))
+        for _ in range(45):
+            own = list(base)
+            for _ in range(rng.randint(1, 5)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(rows)])
+    want = classes_by_hand(rows, 4, 80)
+    assert 4 < len({c for _, _, c in want}) < 120
+    for block, shingles, pivots in ((7, 1000, 24), (7, 700, 2), (3, 300, 1)):
+        monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", block)
+        monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", shingles)
+        monkeypatch.setattr(linking, "PIVOTS", pivots)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+        assert got == want
+
+
+def test_near_duplicates_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (3, b + " more"), (4, a.upper()), (1 << 62, c), ((1 << 62) + 7, c + " more"), (None, c), (-5, b)]
+    got = near_dedup.near_duplicates(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    named = sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str)
+    assert named == sorted([(1, 1, True), (1, -5, False), (3, -5, False), (4, 1, False), (1 << 62, 1 << 62, True), ((1 << 62) + 7, 1 << 62, False), (None, 1 << 62, False), (-5, -5, True)], key=str)
+    named = spark.createDataFrame([("x", a), ("b", a + " more"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(named).collect()} == {"x": ("b", False), "b": ("b", True), None: (None, True)}
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == 12

@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-The words of a source, document after document, are one stream cut into blocks of ``BLOCK`` words.  A source whose
-target is q times its size gives floor(q) whole passes over its blocks and, in the last pass, exact block quotas:
-the first blocks of a keyed permutation (its very last block cut to the word).  All draws of all sources are dealt
-to output shards by a binary tree; each node splits its vector of draws per source between its two halves by a
-multivariate hypergeometric draw, as a full shuffle of all draws would.  A shard then owns a range of each source's
-permuted draws, disjoint from every other shard's, and shuffles them locally by hash.
+The words of a source, document after document, are one stream cut into blocks of ``BLOCK`` words.  Its target is a
+number of draws: whole passes over all blocks and, in the last pass, the first blocks of a keyed permutation (the very
+last block cut to the word).  A binary tree deals the draws of all sources to output shards; each node splits its vector
+of draws per source between its two halves by a multivariate hypergeometric draw, as a full shuffle of all draws would.
+A shard then owns a range of each source's permuted draws, disjoint from every other shard's.  A block is taken when
+a shard owns its draw, and only then; a document goes, pass by pass, to the shard of its first block taken, where
+documents are shuffled by hash.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from .common import WORD, stored
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BLOCK, SHARDS, SEED = 64, 64, 20240607
+#: Sources that one mix may have: their draws are a vector in the tree.
+MAX_SOURCES = 10_000
 #: Documents of a source are summed in hash buckets of about this many, so that no source needs one task.
 BUCKET_DOCS = 2_000
+#: Documents of one task that places blocks, and words of one task that shuffles a piece of a shard.
+TASK_DOCS, TASK_WORDS = 8_000, 2_000_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -65,7 +70,7 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
 
 
 def quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(ord, shard, quota, start): how many draws of each source a shard gets, and where its range of them begins.
+    """(ord, shard, quota, start, end): how many draws of each source a shard gets, and the range of them it owns.
 
     ``sources(ord, draws)``.  Quotas of a source add up to its draws; shards differ by at most one draw per level.
     """
@@ -90,7 +95,18 @@ def quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFr
         nodes = nodes.select(F.explode(F.when(F.col("high") - F.col("low") > 1, halves).otherwise(F.array(F.struct("low", "high", "n")))).alias("x")).select("x.*")
     leaf = nodes.select(F.col("low").alias("shard"), F.posexplode("n").alias("ord", "quota"))
     so_far = F.sum("quota").over(Window.partitionBy("ord").orderBy("shard"))
-    return leaf.select("ord", "shard", "quota", (so_far - F.col("quota")).alias("start"))
+    return leaf.select("ord", "shard", "quota", (so_far - F.col("quota")).alias("start"), so_far.alias("end"))
+
+
+def owner(ends: Column, draw: Column, shards: int) -> Column:
+    """The shard that owns a draw, by the sorted ``ends`` of the shards' ranges; null if none does."""
+    halves = [1 << k for k in reversed(range((shards - 1).bit_length() + 1))]  # a search by halves of those left
+
+    def on(low: Column, step: Column) -> Column:
+        return F.when((low + step <= shards) & (F.get(ends, low + step - 1) <= draw), low + step).otherwise(low)
+
+    found = F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), on)
+    return F.when(found < shards, found)
 
 
 def permuted(block: Column, count: Column, *key: Column) -> Column:
@@ -104,84 +120,112 @@ def permuted(block: Column, count: Column, *key: Column) -> Column:
         turn = lambda s, r: cell(s["y"], F.pmod(s["x"] + F.pmod(F.xxhash64(*key, r, s["y"]), s["m"]), s["m"]), s["n"], s["m"])
         return F.aggregate(F.sequence(F.lit(1), F.lit(4)), cell(F.floor(x / b).cast("bigint"), x % b, a, b), turn, lambda s: s["x"] * s["n"] + s["y"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(-1).cast("bigint"), lambda x, i: F.when(x.between(0, count - 1), x).otherwise(once(F.when(i == 1, block).otherwise(x))))
+    walk = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x.between(0, count - 1), x).otherwise(once(x)))
+    # nearly all arrive with the first step; transform of one element binds it to a name
+    return F.transform(F.array(once(block)), lambda x: F.when(x.between(0, count - 1), x).otherwise(walk(x)))[0]
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, spans, shards.
 
-    ``copies`` whole passes, then the word ranges ``spans`` (from, to) of the last pass; ``shards`` hold them.
-    ``taken`` is their words together: over a source they are its target, rounded.  Null and empty texts have size
-    0 and are never taken; a null source is a source, the last.  Without any word all targets are 0.  Repeated
-    rows are documents of their own.  Extra columns are ignored.
+    ``shards`` are the shards that own draws of the row's blocks, with the words of it that each takes; ``taken`` is
+    their sum.  Of these, ``copies`` are whole passes, ``spans`` the word ranges (from, to) of the last pass.  Over a
+    source ``taken`` is the target, rounded.  Null and empty texts have size 0 and are never taken; a null source is
+    a source, the last.  Without any word all targets are 0.  Repeated rows are documents of their own.  Extra
+    columns are ignored.  There may be MAX_SOURCES sources.
     """
     sized = stored(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("mark"), F.lit(0).alias("row")))
-    return _plan(sized, weights, share, cap, block, shards, seed).drop("row")
+    plan, _ = _plan(sized, weights, share, cap, block, shards, seed)
+    words = lambda ps: F.aggregate(ps, F.lit(0).cast("bigint"), lambda a, p: a + p["to"] - p["from"])
+    each = F.transform(F.array_sort(F.array_distinct(F.transform("drawn", lambda p: p["shard"]))), lambda s: F.struct(s.alias("shard"), words(F.filter("drawn", lambda p: p["shard"] == s)).alias("words")))
+    plan = plan.withColumn("shards", each)
+    taken = F.aggregate("shards", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
+    spans = F.transform(F.filter("drawn", lambda p: p["turn"] == F.col("copies")), lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to")))
+    return plan.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", spans.alias("spans"), "shards")
 
 
-def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """:func:`mix` of the stored ``sized(doc_id, source, size, mark, row)``, with ``row``.
+def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, int]:
+    """The stored ``sized(doc_id, source, size, mark, row)`` with source_size, target, copies and ``drawn``: (turn,
+    shard, from, to) of every block that a shard takes of the row, pass by pass, in text order.  And the words of all.
 
     Rows of a source lie in its stream by a hash of doc_id, size and mark; rows that agree in these are alike.
     """
-    buckets = max(1, -(-sized.count() // BUCKET_DOCS))
+    spark = sized.sparkSession
+    count = sized.count()
+    buckets = max(1, -(-count // BUCKET_DOCS))
     rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(buckets)).cast("int"))
     parts = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    goals = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
+    if sizes.count() > MAX_SOURCES:
+        raise ValueError(f"a mix may have {MAX_SOURCES} sources")
+    goals = targets(sizes, weights, share, cap)
     size, words = F.col("source_size"), F.floor(F.col("target") + 0.5).cast("bigint")
     goals = goals.withColumn("copies", F.when(size > 0, F.floor(words / size)).otherwise(F.lit(0)).cast("bigint"))
     goals = goals.withColumns({"rest": words - F.col("copies") * size, "blocks": F.ceil(size / block).cast("bigint")})
     goals = stored(goals.withColumns({"last": F.ceil(F.col("rest") / block).cast("bigint")}).withColumn("draws", F.col("copies") * F.col("blocks") + F.col("last")))
-    starts = quotas(goals.select("ord", "draws"), shards, seed).groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "start"))), lambda x: x["start"]).alias("starts"))
-    goals = goals.join(starts, "ord")
+    ends = quotas(goals.select("ord", "draws"), shards, seed).groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
+    goals = goals.join(ends, "ord")
     base = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
     names = {c: "g_" + c for c in goals.columns}
     parts = parts.select("source", "bucket", base.alias("base")).join(goals.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("g_source")))
     parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), "base", *(F.col("g_" + c).alias(c) for c in goals.columns if c != "source")))
 
-    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))).drop("p_source", "p_bucket")
+    # a count of its own: adaptive execution would put this small but laborious input in few tasks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_DOCS))
     order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark")
-    rows = rows.withColumn("from", F.col("base") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    rows = rows.repartition(tasks, "source", "bucket").withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    rows = rows.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))).drop("p_source", "p_bucket")
+    rows = rows.withColumn("from", F.col("base") + F.col("before"))
     full = F.floor(F.col("source_size") / block).cast("bigint")
-    b = F.lit(block).cast("bigint")
-    own = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("own", own)
+    b, end = F.lit(block).cast("bigint"), F.col("from") + F.col("size")
+    rows = rows.withColumn("own", F.when(F.col("size") > 0, F.sequence(F.floor(F.col("from") / block), F.floor((end - 1) / block))).otherwise(F.array().cast("array<bigint>")))
 
-    def place(x: Column, turn: Column) -> Column:  # a short block at the end of the stream stays last
-        return F.when(x < full, permuted(x, full, F.lit(seed), F.col("ord"), turn)).otherwise(x)
+    def draw(turn: Column, x: Column) -> Column:  # a short block at the end of the stream stays last
+        at = F.when(x < full, permuted(x, full, F.lit(seed), F.col("ord"), turn)).otherwise(x)
+        return F.struct(turn.alias("turn"), x.alias("block"), (turn * F.col("blocks") + at).alias("draw"))
 
-    last = F.transform("own", lambda x: F.struct(x.alias("block"), place(x, F.col("copies")).alias("at")))
-    rows = rows.withColumn("drawn", F.filter(last, lambda d: d["at"] < F.col("last")))
+    draws = F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies")), lambda t: F.transform("own", lambda x: draw(t, x))))
+    rows = rows.withColumn("draws_", F.filter(draws, lambda d: d["draw"] < F.get("ends", F.lit(shards - 1))))
 
-    def cut(d: Column) -> Column:
-        end = d["block"] * b + F.when(d["at"] == F.col("last") - 1, F.col("rest") - (F.col("last") - 1) * b).otherwise(b)
+    def taken(d: Column) -> Column:
+        cut = F.when(d["draw"] == F.col("draws") - 1, F.when(F.col("rest") > 0, F.col("rest") - (F.col("last") - 1) * b).otherwise(b)).otherwise(b)
         low = F.greatest(d["block"] * b, F.col("from"))
-        high = F.greatest(F.least(end, F.col("from") + F.col("size")), low)
-        return F.struct((low - F.col("from")).alias("from"), (high - F.col("from")).alias("to"))
+        high = F.greatest(F.least(d["block"] * b + cut, end), low)
+        return F.struct(d["turn"].alias("turn"), owner(F.col("ends"), d["draw"], shards).alias("shard"), (low - F.col("from")).alias("from"), (high - F.col("from")).alias("to"))
 
-    rows = rows.withColumn("spans", F.filter(F.transform("drawn", cut), lambda s: s["to"] > s["from"]))
-    whole = F.flatten(F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>")), lambda t: F.transform("own", lambda x: t * F.col("blocks") + place(x, t))))
-    turns = F.concat(whole, F.transform("drawn", lambda d: F.col("copies") * F.col("blocks") + d["at"]))
-    shard = F.transform(turns, lambda t: F.size(F.filter("starts", lambda s: s <= t)) - 1)
-    taken = F.col("copies") * F.col("size") + F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "spans", F.array_sort(F.array_distinct(shard)).alias("shards"), "row")
+    drawn = F.filter(F.transform("draws_", taken), lambda p: (p["to"] > p["from"]) & p["shard"].isNotNull())
+    total = goals.agg(F.sum("target")).first()[0] or 0
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", drawn.alias("drawn"), "row", "mark"), int(total)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each whole pass gives the row as it is, the last pass its drawn word ranges.
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
+    """The mix as documents, one for each pass over a row: the row as it is where shards take all its words, else the
+    word ranges taken.
 
-    Needs doc_id, text, source, n_chars; ``n_chars`` follows the text, all other columns are kept.  Every row has
-    a plan of its own, also among rows without doc_id, or with one doc_id.
+    Rows lie in the order of their shards, which are shuffled by hash.  Needs doc_id, text, source, n_chars;
+    ``n_chars`` follows the text, all other columns are kept.  Every row has a plan of its own, also among rows
+    without doc_id, or with one doc_id.
     """
     plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
     # ``row`` is unique and fixed, as the table is stored; it takes no part in a draw, so that runs give the same mix
     rows = stored(docs.select(F.struct("*").alias("doc"), word_count().alias("words"), F.xxhash64(*plain).alias("mark"), F.monotonically_increasing_id().alias("row")))
-    plan = _plan(rows.select("doc.doc_id", "doc.source", F.col("words").alias("size"), "mark", "row"), **options)
-    rows = rows.select("doc", "row").join(plan.select("row", "copies", "spans").where("copies > 0 OR size(spans) > 0"), "row")
+    plan, total = _plan(rows.select("doc.doc_id", "doc.source", F.col("words").alias("size"), "mark", "row"), shards=shards, seed=seed, **options)
+    turns = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies")), lambda t: F.struct(t.alias("turn"), F.filter("drawn", lambda p: p["turn"] == t).alias("own")))
+    passes = F.filter(turns, lambda t: F.size(t["own"]) > 0)
+    whole = lambda t: F.aggregate(t["own"], F.lit(0).cast("bigint"), lambda a, p: a + p["to"] - p["from"]) == F.col("size")
+    spans = lambda t: F.transform(F.filter(t["own"], lambda _: ~whole(t)), lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to")))
+    plan = plan.select("row", "mark", F.transform(passes, lambda t: F.struct(t["turn"].alias("turn"), t["own"][0]["shard"].alias("shard"), whole(t).alias("whole"), spans(t).alias("spans"))).alias("passes"))
+    rows = rows.select("doc", "row", "words").join(plan.where("size(passes) > 0"), "row")
     tokens = F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    rows = rows.withColumn("tokens", F.when(F.size("spans") > 0, tokens))
-    pieces = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
-    whole = F.array_repeat(F.col("doc.text"), F.col("copies").cast("int"))
-    rows = rows.select("doc", F.explode(F.concat(whole, F.when(F.size("spans") > 0, F.array(pieces)).otherwise(F.array().cast("array<string>")))).alias("text"))
+    rows = rows.withColumn("tokens", F.when(F.exists("passes", lambda p: ~p["whole"]), tokens))
+    pieces = lambda p: F.array_join(F.flatten(F.transform(p["spans"], lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
+    made = F.transform("passes", lambda p: F.struct(p["turn"].alias("turn"), p["shard"].alias("shard"), F.when(p["whole"], F.col("doc.text")).otherwise(pieces(p)).alias("text")))
+    rows = rows.select("doc", F.explode(made).alias("p"), "mark")
+    # a shard's own order is by hash; its first bits deal the rows of a large shard to several tasks
+    slots = max(1, -(-total // (shards * TASK_WORDS)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
+    place = F.pmod(F.xxhash64(F.lit(seed), "p.shard", "p.turn", "mark"), F.lit(1 << 62))
+    rows = rows.select("doc", "p.text", "p.shard", place.alias("place")).withColumn("slot", F.floor(F.col("place") / F.lit((1 << 62) / slots)))
+    rows = rows.repartition(tasks, "shard", "slot").sortWithinPartitions("shard", "slot", "place")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
     return rows.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))

@@ -40,6 +40,12 @@ def test_mix(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         assert r.size == len((rows[r.doc_id][1] or "").split()) and 0 <= r.taken <= 2 * r.size
         assert r.taken == r.copies * r.size + sum(s["to"] - s["from"] for s in r.spans)
+    owned = {}
+    for r in got:  # a document has what the shards that own its draws take of it
+        assert r.taken == sum(s["words"] for s in r.shards) and all(0 <= s["shard"] < 64 and s["words"] > 0 for s in r.shards)
+        for s in r.shards:
+            owned[s["shard"]] = owned.get(s["shard"], 0) + s["words"]
+    assert sum(owned.values()) == sum(taken.values()) and max(owned.values()) - min(owned.values()) <= 7 * 2 * 64
     want = reshared(sizes, (5, 2, 1), 1.5, 2)
     for r in got:
         assert math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.source_size == sizes[r.source]
@@ -49,6 +55,42 @@ def test_mix(spark):
     assert mixed.select(F.sum(mixing.word_count())).first()[0] == sum(taken.values())
 
 
+def test_shards_decide_what_is_taken(spark, monkeypatch):
+    docs = documents(spark, [(i, "w " * 300, "en", "ab"[i % 2]) for i in range(40)])
+    whole = mixing.quotas
+
+    def without_one(*args):  # the draws of the last shard belong to nobody
+        plan = whole(*args)
+        return plan.withColumn("end", F.when(F.col("shard") < 63, F.col("end")).otherwise(F.col("start")))
+
+    before = {s["shard"]: s["words"] for r in mixing.mix(docs).collect() for s in r.shards if s["shard"] == 63}
+    monkeypatch.setattr(mixing, "quotas", without_one)
+    rows = mixing.mix(docs).collect()
+    assert before and not any(s["shard"] == 63 for r in rows for s in r.shards)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.select(F.sum(mixing.word_count())).first()[0] == sum(r.taken for r in rows) < 1.5 * 40 * 300
+
+
+def test_owner_of_a_draw(spark):
+    ends = [0, 3, 3, 10, 11]
+    got = spark.range(13).select(mixing.owner(F.array(*map(F.lit, ends)), F.col("id"), 5).alias("s")).collect()
+    assert [r.s for r in got] == [1, 1, 1, 3, 3, 3, 3, 3, 3, 3, 4, None, None]
+
+
+def test_mixed_documents_are_shuffled_in_shards(spark):
+    docs = documents(spark, [(i, f"d{i} " + "w " * 70, "en", "a") for i in range(600)])
+    order = [r.doc_id for r in mixing.mixed_documents(docs, shards=4).collect()]
+    assert len(order) > 600 and order != sorted(order)
+    steps = [abs(a - b) for a, b in zip(order, order[1:], strict=False)]
+    assert sum(steps) / len(steps) > 100  # neighbours come from anywhere
+    with pytest.raises(ValueError, match="sources"):
+        few, mixing.MAX_SOURCES = mixing.MAX_SOURCES, 0
+        try:
+            mixing.mix(docs)
+        finally:
+            mixing.MAX_SOURCES = few
+
+
 def test_mix_of_awkward_rows(awkward, nothing):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == 12 and all(r.taken <= 2 * r.size for r in rows) and all(r.taken == 0 for r in rows if r.size == 0)

@@ -2,8 +2,8 @@
 
 A word stands for two terms: its hashed form and its shape (kinds of characters at both ends, length class, and
 whether it lies in a run of eight words that the text repeats).  Every term has a fixed sparse random index vector;
-a term's context vector sums the index vectors of its neighbours over the sample.  A document is the mean of its
-terms' vectors, once for forms and once for shapes.
+a term's context vector sums the index vectors of its neighbours over all documents.  A document is the mean of its
+terms' vectors, once for forms and once for shapes.  Only the network is fitted on the labelled sample.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SAMPLE_ROWS = 6000
 FORMS, SHAPES, DIM, HIDDEN = 1 << 15, 1 << 10, 48, 32
 NONZERO, WINDOW, EPOCHS, BATCH, RATE = 6, 2, 60, 64, 0.003
 THRESHOLD = 0.7
+#: Terms in a block of context sums; words whose sums fit 32 bits.
+BLOCK, FULL = 64, 20_000_000
 
 _KIND = np.full(256, 1, np.int64)  # other marks
 _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 2, 3, 4, 5
@@ -104,35 +106,88 @@ def index_vectors(n: int, salt: int) -> np.ndarray:
     return out
 
 
+def context_sums(data: np.ndarray, offs: np.ndarray, index: tuple[np.ndarray, np.ndarray], sums: np.ndarray) -> int:
+    """Adds to ``sums`` (FORMS + SHAPES rows) the index vectors around every word, to its form and to its shape; words."""
+    form, shape, first = terms(data, offs)
+    own = index[0][form] + index[1][shape]
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    around = np.zeros_like(own)
+    for d in range(1, WINDOW + 1):
+        near = (text[d:] == text[:-d])[:, None]
+        around[d:] += own[:-d] * near
+        around[:-d] += own[d:] * near
+    for term in (form, shape + FORMS) if len(form) else ():
+        order = np.argsort(term, kind="stable")
+        lead = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
+        sums[term[order][lead]] += np.add.reduceat(around[order], lead, axis=0).astype(np.int64)  # small whole numbers
+    return len(form)
+
+
+def index_tables() -> tuple[np.ndarray, np.ndarray]:
+    return index_vectors(FORMS, 31), 2 * index_vectors(SHAPES, 37)
+
+
+def as_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit context vectors of forms and of shapes; those of terms without neighbours are zero (shapes keep a mark)."""
+    unit = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    return unit[:FORMS], unit[FORMS:] + 0.5 * index_vectors(SHAPES, 41)
+
+
 def context_vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit context vectors of forms and of shapes over the sample; unseen forms have the zero vector."""
-    index_forms, index_shapes = index_vectors(FORMS, 31), index_vectors(SHAPES, 37)
-    forms, shapes = np.zeros((FORMS, DIM), np.float32), np.zeros((SHAPES, DIM), np.float32)
+    """The vectors of some texts alone."""
+    sums, index = np.zeros((FORMS + SHAPES, DIM), np.int64), index_tables()
     for a, b in tc.cuts(offs, 1 << 19):
-        form, shape, first = terms(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        index = index_forms[form] + 2 * index_shapes[shape]
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        around = np.zeros_like(index)
-        for d in range(1, WINDOW + 1):
-            near = (text[d:] == text[:-d])[:, None]
-            around[d:] += index[:-d] * near
-            around[:-d] += index[d:] * near
-        np.add.at(forms, form, around)
-        np.add.at(shapes, shape, around)
-    for total in (forms, shapes):
-        total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
-    return forms, shapes + 0.5 * index_vectors(SHAPES, 41)
-
-
-def fit(texts, labels, seed: int = 4) -> Model:
-    """Adam on the logistic loss over pooled vectors; the temperature is found on a fifth that isn't trained on."""
+        context_sums(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], index, sums)
+    return as_vectors(sums)
+
+
+def corpus_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of all documents: every task sums its texts, blocks of terms are summed over tasks."""
+
+    def count(batches):
+        sums, index, words = np.zeros((FORMS + SHAPES, DIM), np.int64), index_tables(), 0
+
+        def sent():
+            blocks = sums.astype(np.int32).reshape(-1, BLOCK * DIM)
+            some = np.flatnonzero(blocks.any(1))
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "sums"])
+
+        for _, data, offs in tc.slices(batches, "text", 1 << 19):
+            words += context_sums(data, offs, index, sums)
+            if words > FULL:
+                yield sent()
+                sums[:], words = 0, 0
+        if words:
+            yield sent()
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(raw.as_buffer(), np.int32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
+
+    kind = "block bigint, sums binary"
+    found = mapped(mapped(docs.select("text"), count, kind).repartition("block"), add, kind).collect()  # FORMS + SHAPES rows of DIM numbers
+    sums = np.zeros((FORMS + SHAPES, DIM), np.int64)
+    for row in found:
+        sums.reshape(-1, BLOCK * DIM)[row.block] = np.frombuffer(row.sums, np.int64)
+    return as_vectors(sums)
+
+
+def fit(texts, labels, seed: int = 4, vectors: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Adam on the logistic loss over pooled ``vectors`` (by default those of the texts alone).
+
+    The temperature is found on a fifth of the rows that isn't trained on; with fewer than five rows it is 1.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     data, offs = tc.flat(pa.array(list(texts), type=pa.large_string()))
     zero = np.zeros
     if not len(y) or y.min() == y.max():
         return Model(zero((FORMS, DIM), np.float32), zero((SHAPES, DIM), np.float32), zero(2 * DIM + 2), np.ones(2 * DIM + 2), zero((2 * DIM + 2, HIDDEN)), zero(HIDDEN), zero(HIDDEN), 5.0 if len(y) and y[0] else -5.0, 1.0)
-    forms, shapes = context_vectors(data, offs)
+    forms, shapes = vectors or context_vectors(data, offs)
     width = 2 * DIM + 2
     model = Model(forms, shapes, zero(width), np.ones(width), rng.normal(0, width**-0.5, (width, HIDDEN)), zero(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), float(np.log(y.mean() / (1 - y.mean()))), 1.0)
     x = np.concatenate([model.pooled(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tc.cuts(offs, 1 << 19)]).astype(np.float64)
@@ -155,15 +210,16 @@ def fit(texts, labels, seed: int = 4) -> Model:
                 p -= RATE * 0.97**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     logit = model.logits(x[tune])
     grid = np.geomspace(0.25, 8, 31)
-    model.heat = float(grid[np.argmin([np.logaddexp(0, np.where(y[tune] > 0, -1, 1) * logit / t).mean() for t in grid])])
+    if tune.any():
+        model.heat = float(grid[np.argmin([np.logaddexp(0, np.where(y[tune] > 0, -1, 1) * logit / t).mean() for t in grid])])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most about ``rows`` labelled rows whose crc32(doc_id) mod 4 isn't 2."""
+    """Word vectors of all documents; a network fitted on about ``rows`` labelled rows whose crc32(doc_id) mod 4 isn't 2."""
     known = labels.where("quality IS NOT NULL").where(~held_out(4, 2)).select("doc_id", "quality")
     sample = training_sample(known, docs, rows, 4)
-    return fit(sample["text"], sample["quality"])
+    return fit(sample["text"], sample["quality"], vectors=corpus_vectors(docs) if sample["quality"].nunique() > 1 else None)
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:

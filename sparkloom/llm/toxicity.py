@@ -98,6 +98,40 @@ def _join(texts) -> tuple[np.ndarray, np.ndarray]:
     return tc.flat(pa.array(list(texts), type=pa.large_string()))
 
 
+def start(rng: np.random.Generator) -> Model:
+    """A model with small random weights, one language and no threshold."""
+    cols = _SPAN * FILTERS
+    return Model(
+        rng.normal(0, 0.03, (WORDS, DIM)).astype(np.float32), rng.normal(0, 0.03, (PREFIXES, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, cols)).astype(np.float32),
+        np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0, np.ones((1, 256), np.float32), np.zeros(1), 1.0,
+    )
+
+
+def gradients(model: Model, w: np.ndarray, p: np.ndarray, f: np.ndarray, y: np.ndarray, weight: np.ndarray, keep: np.ndarray) -> dict[str, np.ndarray | float]:
+    """Of the weighted mean logistic loss of texts (words, prefixes, first of each); maxima pass theirs to the words
+    where they are.  ``keep`` scales every text's filters (dropout)."""
+    top, where = model.pooled(w, p, f)
+    hidden = np.maximum(top + model.bias, 0)
+    slope = (1 / (1 + np.exp(-((hidden * keep) @ model.out + model.const))) - y) * weight / len(y)
+    d_top = slope[:, None] * model.out * keep * (top + model.bias > 0)
+    d_x, d_filters = np.zeros((len(w), DIM), model.words.dtype), np.zeros_like(model.filters)
+    x, end, col = model.words[w] + model.prefixes[p], np.repeat(f[1:], FILTERS), 0
+    for i, width in enumerate(WIDTHS):
+        at, g = where[:, i * FILTERS : (i + 1) * FILTERS].ravel(), d_top[:, i * FILTERS : (i + 1) * FILTERS].ravel()
+        which = np.tile(np.arange(FILTERS), len(y))
+        for j in range(width):
+            ok = (at >= 0) & (at + j < end)
+            c = col + j * FILTERS + which[ok]
+            np.add.at(d_x, at[ok] + j, g[ok, None] * model.filters[:, c].T)
+            np.add.at(d_filters.T, c, g[ok, None] * x[at[ok] + j])
+        col += width * FILTERS
+    d_words, d_prefixes = np.zeros_like(model.words), np.zeros_like(model.prefixes)
+    hot = np.flatnonzero(np.abs(d_x).sum(1))
+    np.add.at(d_words, w[hot], d_x[hot])
+    np.add.at(d_prefixes, p[hot], d_x[hot])
+    return {"words": d_words, "prefixes": d_prefixes, "filters": d_filters, "bias": d_top.sum(0), "out": (hidden * keep).T @ slope, "const": float(slope.sum())}
+
+
 def fit(texts, labels, langs, seed: int = 5) -> Model:
     """Adam on the logistic loss; maxima pass their gradient to the words where they are.
 
@@ -107,11 +141,7 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
-    cols = _SPAN * FILTERS
-    model = Model(
-        rng.normal(0, 0.03, (WORDS, DIM)).astype(np.float32), rng.normal(0, 0.03, (PREFIXES, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, cols)).astype(np.float32),
-        np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0, np.ones((1, 256), np.float32), np.zeros(1), 1.0,
-    )
+    model = start(rng)
     if not len(y) or y.min() == y.max():
         model.out[:], model.const = 0, 5.0 if len(y) and y[0] else -5.0
         return model
@@ -122,8 +152,9 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
     tune = rng.permutation(len(y)) < len(y) // 5
     train = np.flatnonzero(~tune & (np.diff(first) > 0))
     weight = np.where(y > 0, min(8.0, (y == 0).sum() / (y > 0).sum()) ** 0.5, 1.0).astype(np.float32)
-    params = [model.words, model.prefixes, model.filters, model.bias, model.out]
-    first_moment, second_moment = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    names = ("words", "prefixes", "filters", "bias", "out")
+    params = {name: getattr(model, name) for name in names}
+    first_moment, second_moment = ({name: np.zeros_like(v) for name, v in params.items()} for _ in range(2))
     step = 0
     for epoch in range(EPOCHS):
         for ids in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
@@ -131,35 +162,16 @@ def fit(texts, labels, langs, seed: int = 5) -> Model:
             spans = [np.arange(first[i], first[i + 1]) for i in ids]
             w, p = (a[np.concatenate(spans)] for a in (word, prefix))
             f = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
-            top, where = model.pooled(w, p, f)
-            hidden = np.maximum(top + model.bias, 0)
-            keep = (rng.random(hidden.shape) < 0.8).astype(np.float32) / 0.8
-            logit = (hidden * keep) @ model.out + model.const
-            slope = (1 / (1 + np.exp(-logit)) - y[ids]) * weight[ids] / len(ids)
-            d_out = (hidden * keep).T @ slope
-            d_top = slope[:, None] * model.out * keep * (top + model.bias > 0)
-            d_x, d_filters = np.zeros((len(w), DIM), np.float32), np.zeros_like(model.filters)
-            x, end, col = model.words[w] + model.prefixes[p], np.repeat(f[1:], FILTERS), 0
-            for i, width in enumerate(WIDTHS):
-                at, g = where[:, i * FILTERS : (i + 1) * FILTERS].ravel(), d_top[:, i * FILTERS : (i + 1) * FILTERS].ravel()
-                which = np.tile(np.arange(FILTERS), len(ids))
-                for j in range(width):
-                    ok = at + j < end
-                    c = col + j * FILTERS + which[ok]
-                    np.add.at(d_x, at[ok] + j, g[ok, None] * model.filters[:, c].T)
-                    np.add.at(d_filters.T, c, g[ok, None] * x[at[ok] + j])
-                col += width * FILTERS
-            d_words, d_prefixes = np.zeros_like(model.words), np.zeros_like(model.prefixes)
-            hot = np.flatnonzero(np.abs(d_x).sum(1))
-            np.add.at(d_words, w[hot], d_x[hot])
-            np.add.at(d_prefixes, p[hot], d_x[hot])
-            model.const -= RATE * float(slope.sum())
-            for k, (value, grad, rows) in enumerate(zip(params, (d_words, d_prefixes, d_filters, d_top.sum(0), d_out), (w[hot], p[hot], None, None, None), strict=True)):
-                at = slice(None) if rows is None else np.unique(rows)  # of the embeddings only touched rows move
+            keep = (rng.random((len(ids), len(WIDTHS) * FILTERS)) < 0.8).astype(np.float32) / 0.8
+            grads = gradients(model, w, p, f, y[ids], weight[ids], keep)
+            model.const -= RATE * grads["const"]
+            for name, value in params.items():
+                grad, m, v = grads[name], first_moment[name], second_moment[name]
+                at = np.flatnonzero(np.abs(grad).sum(1)) if name in ("words", "prefixes") else slice(None)  # of the embeddings only touched rows move
                 g = grad[at] + DECAY * value[at]
-                first_moment[k][at] = 0.9 * first_moment[k][at] + 0.1 * g
-                second_moment[k][at] = 0.999 * second_moment[k][at] + 0.001 * g * g
-                value[at] -= RATE * (0.93**epoch) * (first_moment[k][at] / (1 - 0.9**step)) / (np.sqrt(second_moment[k][at] / (1 - 0.999**step)) + 1e-8)
+                m[at] = 0.9 * m[at] + 0.1 * g
+                v[at] = 0.999 * v[at] + 0.001 * g * g
+                value[at] -= RATE * (0.93**epoch) * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
     logit = np.concatenate([model.logits(word[first[a] : first[b]], prefix[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in tc.cuts(offs, 1 << 19)])
     names = np.array([x if isinstance(x, str) else "" for x in langs])
     shares = np.concatenate([byte_shares(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tc.cuts(offs, 1 << 19)])

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -168,6 +169,117 @@ def test_quality_learns():
     assert ((s[:-1] >= 0.7) == quality[400:]).mean() > 0.95 and ((s >= 0) & (s <= 1)).all()
 
 
+def test_quality_vectors_are_of_all_documents(spark, texts):
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate([*texts, None, ""])]).repartition(5)
+    for got, want in zip(quality_model.corpus_vectors(docs), quality_model.context_vectors(*flat(texts)), strict=True):
+        assert np.array_equal(got, want)
+    # by hand, for one form
+    index_forms, index_shapes = quality_model.index_tables()
+    want, word = np.zeros(quality_model.DIM), None
+    for t in texts:
+        form, shape, _ = quality_model.terms(*flat([t]))
+        if not len(form):
+            continue
+        word = form[0] if word is None else word
+        own = index_forms[form] + index_shapes[shape]
+        for i in np.flatnonzero(form == word):
+            want += sum(own[j] for j in range(max(0, i - 2), min(len(form), i + 3)) if j != i)
+    assert np.allclose(quality_model.context_vectors(*flat(texts))[0][word], want / np.linalg.norm(want))
+
+
+def test_quality_scores_by_a_naive_pass(texts):
+    """Mean of the words' vectors, two layers, temperature: word by word in plain Python."""
+    rows, _, quality = labelled(200)
+    model = quality_model.fit(rows, quality)
+    few = [*texts[:20], "", "x"]
+    for t, score in zip(few, model.scores(*flat(few)), strict=True):
+        form, shape, _ = quality_model.terms(*flat([t]))
+        n = len(WORDS.findall(t))
+        mean = lambda table, at: [sum(float(table[a][d]) for a in at) / n if n else 0.0 for d in range(quality_model.DIM)]  # noqa: E731, B023
+        x = [*mean(model.forms, form), *mean(model.shapes, shape), math.log1p(n), float(n == 0)]
+        z = [(a - m) / s for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        hidden = [math.tanh(sum(z[i] * model.w1[i][j] for i in range(len(z))) + model.b1[j]) for j in range(quality_model.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, model.w2, strict=True)) + model.b2) / model.heat
+        assert abs(score - 1 / (1 + math.exp(-logit))) < 1e-4
+
+
+def test_toxicity_scores_by_a_naive_pass(texts):
+    """Every filter at every place, the maximum, one output, the threshold of the language."""
+    rows, toxic, _ = labelled(200)
+    model = toxicity.fit(rows, toxic, ["en", "de"] * 100)
+    few = [*texts[:12], "", "one", "You Moron!!"]
+    for t, score in zip(few, model.scores(*flat(few)), strict=True):
+        word, prefix, _ = toxicity.tokens(*flat([t]))
+        x = [model.words[w] + model.prefixes[p] for w, p in zip(word, prefix, strict=True)]
+        out, col = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                at = [sum(float(x[i + j] @ model.filters[:, col + j * toxicity.FILTERS + f]) for j in range(width) if i + j < len(x)) for i in range(len(x))]
+                out.append(max(at, default=0.0))
+            col += width * toxicity.FILTERS
+        logit = sum(max(v + b, 0) * w for v, b, w in zip(out, model.bias, model.out, strict=True)) + model.const
+        raw = collections.Counter(b for b in t.lower().encode() if b != 32)
+        shares = [(raw[b] / max(1, len(t.encode()))) ** 0.5 for b in range(256)]
+        lang = max(range(len(model.langs)), key=lambda k: sum(a * b for a, b in zip(shares, model.langs[k], strict=True)))
+        assert abs(score - 1 / (1 + math.exp(-(logit - model.cuts[lang]) / model.heat))) < 1e-4
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    """Maxima pass their gradient to the words where they are: against differences of the loss."""
+    rng = np.random.default_rng(3)
+    rows, toxic, _ = labelled(12)
+    model = toxicity.start(rng)
+    word, prefix, first = toxicity.tokens(*flat(rows))
+    y, weight, keep = np.array(toxic, np.float32), np.ones(12, np.float32), np.ones((12, len(toxicity.WIDTHS) * toxicity.FILTERS), np.float32)
+    for name in ("words", "prefixes", "filters", "bias", "out"):
+        setattr(model, name, getattr(model, name).astype(np.float64) * (3 if name != "bias" else 1))
+    loss = lambda: np.logaddexp(0, np.where(y > 0, -1, 1) * model.logits(word, prefix, first)).mean()
+    grads = toxicity.gradients(model, word, prefix, first, y, weight, keep)
+    for name, grad in grads.items():
+        if name == "const":
+            continue
+        value = getattr(model, name)
+        for at in [tuple(rng.integers(0, k) for k in value.shape) for _ in range(4)] + [np.unravel_index(np.abs(grad).argmax(), grad.shape)]:
+            old, step = value[at], 1e-4
+            value[at] = old + step
+            up = loss()
+            value[at] = old - step
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-4 + 5e-3 * abs(grad[at])
+
+
+def test_language_kernel_by_explicit_sets():
+    """Shared n-grams over the root of their numbers, block by block, weighted by letters."""
+    rng = random.Random(5)
+    rows = [(prose(rng, rng.randint(20, 60), letters), lang) for lang, letters in (("de", "äöüßchk"), ("en", "aeioutnrs")) for _ in range(40)]
+    model = language_id.fit(*zip(*rows, strict=True))
+
+    def codes(raw, a, b):
+        out = set()
+        low = raw.lower()
+        for n in language_id.GRAMS:
+            for i in range(a, min(b, len(raw) - n + 1)):
+                code = 0
+                for c in low[i : i + n]:
+                    code = (code * 257 + c + 1) % (1 << 32)
+                out.add((code * (2654435761 + 2 * n) % (1 << 32)) >> 19)
+        return out
+
+    for t in (prose(rng, 30), "ä", prose(rng, 1500, "äöüßchk")):
+        raw = t.encode()
+        edges, _ = language_id.blocks(np.array([0, len(raw)]))
+        found, total = np.zeros(model.landmarks.shape[1]), 0.0
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = codes(raw, a, b)
+            weight = sum(c >= 128 or chr(c).isalpha() for c in raw[a:b]) + 1e-6
+            found += weight * np.array([sum(float(model.landmarks[c, k]) for c in own) for k in range(len(found))]) / len(own) ** 0.5
+            total += weight
+        assert np.allclose(model.kernels(*flat([t]))[0], found / total, atol=1e-4)
+        z = language_id.SHARPNESS * (found / total @ model.weights + model.offset)
+        assert np.allclose(model.scores(*flat([t]))[0], np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-3)
+
+
 def test_repeated_words_by_hand(texts):
     data, offs = flat([*texts, "a b " * 9])
     start, end, first = tc.words(data, offs)

@@ -5,15 +5,18 @@ distinct words of a slice are encoded once, and words of equal length advance to
 piece length the substrings' hashes probe the sorted hashes of the pieces, and vectorised maxima store backpointers.
 
 * Unigram models: a path scores the sum of its pieces' scores.
-* BPE models: scores don't add up, so a path is worth something only if merging would leave every two neighbouring
-  pieces of it as they are.  Merges are local, so the one path with that property is the merge result; which pairs
-  have it is found by merging the pair alone, and remembered.
+* BPE models: scores don't add up.  A path is worth 0 if every two neighbours on it stand apart, that is, if merging
+  the two alone would leave them as they are, and minus infinity if not.  Merges are local, so the one path worth
+  anything is the merge result.  Whether two pieces stand apart follows from the steps in which each is merged: both
+  sequences are played, for all pairs at once, against the pieces that would span the cut.
+
+Words are also cut where two characters meet that no piece has side by side, so that texts without blanks don't make
+long words.  Refused are normalisers other than identity, USER_DEFINED pieces, and UNUSED ones in BPE models.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 from collections.abc import Iterator
 
@@ -27,8 +30,10 @@ from .common import mapped
 #: Where the public tokenizer files lie on every machine; a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Longer words of a BPE model are merged one by one; beyond so many, remembered pairs and words are forgotten.
-LONG_WORD, MEMORY, WORD_MEMORY = 96, 300_000, 200_000
+#: Words beyond so many are forgotten; slots for pairs of pieces that are remembered.
+WORD_MEMORY, PAIR_SLOTS = 200_000, 1 << 20
+#: Words of over CUT characters are looked through for places to cut; edges are made for so many ends at once.
+CUT, ENDS = 32, 4096
 _MARK = "▁".encode()
 _U = np.uint64
 
@@ -63,7 +68,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Model:
     """Pieces, scores and normaliser flags of a model file; blanks stand for the blank mark in all byte strings."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, steps: tuple | None = None):
         self.raw = raw
         self.bytes: list[bytes] = []
         self.scores: list[float] = []
@@ -89,15 +94,30 @@ class Model:
         if charsmap:
             raise ValueError(f"normaliser {name} isn't supported, only identity")
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
-        usable = [i for i, t in enumerate(self.types) if t in (NORMAL, USER, UNUSED) and self.bytes[i]]
+        if USER in self.types:
+            raise ValueError("USER_DEFINED pieces aren't supported")
+        if self.bpe and UNUSED in self.types:
+            raise ValueError("UNUSED pieces of a BPE model aren't supported")
+        usable = [i for i, t in enumerate(self.types) if t == NORMAL and self.bytes[i]]
         self.split = not any(b" " in self.bytes[i].lstrip(b" ") for i in usable)
-        self.longest = max((len(self.bytes[i].decode()) for i in usable), default=1)
-        keys = hashes([self.bytes[i] for i in usable])
+        texts = [self.bytes[i].decode() for i in usable]
+        self.longest = max(map(len, texts), default=1)
+        self.near = np.unique(hashes(sorted({t[k : k + 2].encode() for t in texts for k in range(len(t) - 1)})))
+        # symbols of BPE: pieces, and characters that only occur inside pieces
+        symbols = dict(zip(texts, usable, strict=True))
+        if self.bpe:
+            symbols |= {c: len(self.bytes) + k for k, c in enumerate(sorted({c for t in texts for c in t} - symbols.keys()))}
+            self.steps = steps or _steps(symbols, self.scores)
+        else:
+            self.steps = None
+        keys = hashes([t.encode() for t in symbols])
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
-        self.rank = {self.bytes[i]: self.scores[i] for i in usable}
+        self.keys, self.ids = keys[order], np.array(list(symbols.values()), np.int64)[order]
+        if self.bpe:
+            self.reached = np.append(self.steps[4], True)  # the last symbol stands for characters of no piece
+            self.pair_key, self.pair_value = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.score = np.array(self.scores)
-        self.worst = min((self.scores[i] for i in usable if self.types[i] == NORMAL), default=0.0) - 10.0
+        self.worst = min((self.scores[i] for i in usable), default=0.0) - 10.0
         byte = {int(self.bytes[i][3:5], 16): i for i, t in enumerate(self.types) if t == BYTE}
         self.byte_ids = np.array([byte.get(b, self.unknown) for b in range(256)], np.int64)
         plain = [bytes([int(b[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else b for b, t in zip(self.bytes, self.types, strict=True)]
@@ -105,56 +125,48 @@ class Model:
         self.plain_offs = np.concatenate([[0], np.cumsum([len(b) for b in plain])])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys & _U((1 << 20) - 1)).astype(np.int64)] = True
-        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def __reduce__(self):
-        return (_model, (self.raw,))
-
-    # -- merging, one string at a time
-
-    def merge(self, text: bytes) -> list[bytes]:
-        """The symbols that merging leaves: always the best-scored neighbours that make a piece, leftmost first."""
-        part: list[bytes | None] = [c.encode() for c in text.decode("utf-8", "surrogateescape")] if not text.isascii() else [text[i : i + 1] for i in range(len(text))]
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i < n and after[i] < n:
-                both = part[i] + part[after[i]]
-                if both in self.rank:
-                    heapq.heappush(heap, (-self.rank[both], i, both))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if part[i] is None or after[i] >= n or part[i] + part[after[i]] != both:
-                continue
-            j = after[i]
-            part[i], part[j] = both, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return [p for p in part if p is not None]
-
-    def apart(self, data: np.ndarray, keys: np.ndarray, begin: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether merging ``data[begin:end]`` alone gives the two parts cut at ``mid`` (one, if mid = begin)."""
-        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.pairs) > MEMORY:
-            self.pairs.clear()
-        out = np.zeros(len(unique), bool)
-        for k, (key, i) in enumerate(zip(unique.tolist(), at.tolist(), strict=True)):
-            known = self.pairs.get(key)
-            if known is None:
-                a, m, e = begin[i], mid[i], end[i]
-                wish = [data[m:e].tobytes()] if a == m else [data[a:m].tobytes(), data[m:e].tobytes()]
-                known = self.pairs[key] = self.merge(data[a:e].tobytes()) == wish
-            out[k] = known
-        return out[back]
+        return (_model, (self.raw, self.steps))
+
+    # -- pieces side by side
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the symbols (left, right) as they are; pairs met before are remembered."""
+        none = len(self.reached) - 1  # characters of no piece
+        left, right = np.where(left < 0, none, left), np.where(right < 0, none, right)
+        key = left << 32 | right
+        slot = (tc.mix(key.view(_U)) & _U(PAIR_SLOTS - 1)).astype(np.int64)
+        out = self.pair_value[slot]
+        new = np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            some = new[first]
+            value = self._apart(left[some], right[some])
+            out[new] = value[back]
+            self.pair_key[slot[some]], self.pair_value[slot[some]] = key[some], value
+        return out
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Plays both merge sequences in order of score, the left one first among equals, until a pair that spans the
+        cut scores more than the left one's next merge and no less than the right one's, or both have ended."""
+        pairs, scores, begin, (gain, first, last), _ = self.steps
+        i, j = begin[left], begin[right]
+        out, live = np.ones(len(left), bool), np.arange(len(left))
+        while len(live):
+            a, b = i[live], j[live]
+            key = last[a] << 32 | first[b]
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            across = np.where(pairs[at] == key, scores[at], -np.inf) if len(pairs) else np.full(len(key), -np.inf)
+            joins = (across > gain[a]) & (across >= gain[b])
+            out[live[joins]] = False
+            ended = np.isneginf(gain[a]) & np.isneginf(gain[b])
+            turn = gain[a] >= gain[b]
+            i[live[turn]] += 1
+            j[live[~turn]] += 1
+            live = live[~joins & ~ended]
+        return out
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
@@ -186,15 +198,48 @@ class Model:
         return np.arange(have, have + len(keys))
 
 
+def _steps(symbols: dict[str, int], scores: list[float]) -> tuple:
+    """How BPE merges each symbol's own characters: (pairs, their scores, begin, (gain, first, last), reached).
+
+    ``pairs`` are the sorted pairs of symbols that make a piece.  From ``begin[symbol]`` on lie its states: the score
+    of the next merge (minus infinity behind the last), and the first and the last part there are.  A symbol is
+    ``reached`` if its characters merge to it.
+    """
+    made = {}
+    for text, i in symbols.items():
+        for k in range(1, len(text)):
+            if text[:k] in symbols and text[k:] in symbols:
+                made[symbols[text[:k]] << 32 | symbols[text[k:]]] = scores[i]
+    count = max(symbols.values(), default=-1) + 2  # the last is for characters of no piece
+    begin, reached = np.zeros(count, np.int64), np.zeros(count - 1, bool)
+    gain, first, last = [-np.inf], [count - 1], [count - 1]
+    for text, i in symbols.items():
+        begin[i] = len(gain)
+        parts = [symbols[c] for c in text]
+        at = list(text)
+        while True:
+            found = [(made[a << 32 | b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a << 32 | b in made]
+            best = max(found, default=None)
+            gain.append(best[0] if best else -np.inf), first.append(parts[0]), last.append(parts[-1])
+            if not best:
+                break
+            k = -best[1]
+            at[k : k + 2] = [at[k] + at[k + 1]]
+            parts[k : k + 2] = [symbols[at[k]]]
+        reached[i] = len(parts) == 1
+    keys = np.array(sorted(made), np.int64)
+    return keys, np.array([made[k] for k in keys.tolist()], np.float64), begin, (np.array(gain), np.array(first, np.int64), np.array(last, np.int64)), reached
+
+
 _loaded: dict[bytes, Model] = {}
 
 
-def _model(raw: bytes) -> Model:
+def _model(raw: bytes, steps: tuple | None = None) -> Model:
     """A worker process keeps the model, and what it remembers, from task to task."""
     key = hashlib.sha256(raw).digest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Model(raw)
+        _loaded[key] = Model(raw, steps)
     return _loaded[key]
 
 
@@ -234,40 +279,42 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
-def viterbi(model: Model, data: np.ndarray, bound: np.ndarray, span: _Hasher) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def viterbi(model: Model, bound: np.ndarray, span: _Hasher) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Best paths of words with equally many characters.  ``bound``: words x (characters + 1), byte positions.
 
     Returns (word, begin, end) arrays, one per step back from the ends of the words.
     """
     words, n = bound.shape[0], bound.shape[1] - 1
-    found = []
-    for size in range(1, min(n, model.longest) + 1):
-        key = span(bound[:, : n + 1 - size].ravel(), bound[:, size:].ravel())
-        piece = model.probe(key)
-        hit = np.arange(len(key)) if size == 1 else np.flatnonzero(piece >= 0)
-        found.append((hit // (n + 1 - size), hit % (n + 1 - size), np.full(len(hit), size), key[hit], piece[hit]))
-    word, begin, size, key, piece = (np.concatenate([f[i] for f in found]) for i in range(5))
-    order = np.argsort(begin + size, kind="stable")
-    word, begin, key, piece = word[order], begin[order], key[order], piece[order]
-    edge = np.searchsorted((begin + size[order]), np.arange(1, n + 2))
-    back = np.zeros((words, n + 1), np.int64)
+    back, symbol = np.zeros((words, n + 1), np.int64), np.full((words, n + 1), -1)
     best = np.full((words, n + 1), -np.inf)
     best[:, 0] = 0
-    for e in range(1, n + 1):
-        rows = slice(edge[e - 1], edge[e])
-        w, s = word[rows], begin[rows]
-        live = best[w, s] > -np.inf
-        w, s = w[live], s[live]
+    for low in range(1, n + 1, ENDS):
+        high, found = min(n + 1, low + ENDS), []
+        for size in range(1, min(n, model.longest) + 1):
+            ends = np.arange(max(low, size), high)
+            piece = model.probe(span(bound[:, ends - size].ravel(), bound[:, ends].ravel()))
+            hit = np.arange(len(piece)) if size == 1 else np.flatnonzero(piece >= 0)
+            found.append((hit // max(1, len(ends)), ends[hit % max(1, len(ends))], np.full(len(hit), size), piece[hit]))
+        word, end, size, piece = (np.concatenate([f[i] for f in found]) for i in range(4))
         if model.bpe:
-            low, mid, high = bound[w, back[w, s]], bound[w, s], bound[w, e]
-            apart = model.apart(data, tc.mix(span(low, mid) * _U(3) + key[rows][live]), low, mid, high)
-            w, s, value = w[apart], s[apart], 0.0
-        else:
-            own = piece[rows][live]
-            value = best[w, s] + np.where(own >= 0, model.score[np.maximum(own, 0)], model.worst)
-            up = np.argsort(value, kind="stable")  # of several assignments to a word the last, greatest, stays
-            w, s, value = w[up], s[up], value[up]
-        best[w, e], back[w, e] = value, s
+            good = model.reached[piece] | (size == 1)
+            word, end, size, piece = (x[good] for x in (word, end, size, piece))
+        order = np.argsort(end, kind="stable")
+        word, begin, piece = word[order], (end - size)[order], piece[order]
+        edge = np.searchsorted(end[order], np.arange(low, high + 1))
+        for e in range(low, high):
+            rows = slice(edge[e - low], edge[e - low + 1])
+            w, s, own = word[rows], begin[rows], piece[rows]
+            live = best[w, s] > -np.inf
+            w, s, own = w[live], s[live], own[live]
+            if model.bpe:
+                worth = (s == 0) | model.apart(symbol[w, s], own)
+                w, s, own, value = w[worth], s[worth], own[worth], 0.0
+            else:
+                value = best[w, s] + np.where(own >= 0, model.score[np.maximum(own, 0)], model.worst)
+                up = np.argsort(value, kind="stable")  # of several assignments to a word the last, greatest, stays
+                w, s, own, value = w[up], s[up], own[up], value[up]
+            best[w, e], back[w, e], symbol[w, e] = value, s, own
     path, at, word = [], np.full(words, n), np.arange(words)
     while len(word):
         s = back[word, at]
@@ -276,6 +323,26 @@ def viterbi(model: Model, data: np.ndarray, bound: np.ndarray, span: _Hasher) ->
     return path
 
 
+def _cut_words(model: Model, data: np.ndarray, start: np.ndarray, span: _Hasher) -> None:
+    """Starts a word wherever, inside long words, two characters meet that no piece has side by side."""
+    char = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(char) or char[0]:
+        return
+    lead = np.flatnonzero(start[char])
+    size = np.diff(np.append(lead, len(char)))
+    own = np.flatnonzero(size > CUT)
+    if not len(own):
+        return
+    at = ragged(lead[own] + 1, size[own] - 1)  # all characters of long words but the first
+    bound = np.append(char, len(data))
+    key = span(bound[at - 1], bound[at + 1])
+    start[char[at]] |= ~_known(model.near, key)
+
+
+def _known(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 def _words(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray, span: _Hasher) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number of ids) of the words."""
     char = np.flatnonzero((data & 0xC0) != 0x80)
@@ -285,20 +352,15 @@ def _words(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray, s
     word_of, from_of, to_of = [], [], []
     for n in np.unique(length):
         own = np.flatnonzero(length == n)
-        if model.bpe and n > LONG_WORD:
-            for w in own:
-                sizes = np.array([len(p) for p in model.merge(data[begin[w] : end[w]].tobytes())])
-                to = begin[w] + np.cumsum(sizes)
-                word_of.append(np.full(len(to), w)), from_of.append(to - sizes), to_of.append(to)
-            continue
         bound = char[first[own][:, None] + np.arange(n + 1)]
         bound[:, -1] = end[own]
-        for word, a, b in viterbi(model, data, bound, span):
+        for word, a, b in viterbi(model, bound, span):
             word_of.append(own[word]), from_of.append(a), to_of.append(b)
     word, a, b = np.concatenate(word_of), np.concatenate(from_of), np.concatenate(to_of)
     order = np.lexsort((a, word))
     word, a, b = word[order], a[order], b[order]
     piece = model.probe(span(a, b))
+    piece[piece >= len(model.bytes)] = -1
     size = np.where(piece >= 0, 1, b - a if model.fallback else 1)
     ids = np.repeat(piece, size)
     if model.fallback:
@@ -320,9 +382,10 @@ def encode(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     if model.split:
         blank = data == 32
         start[1:] |= blank[1:] & ~blank[:-1]
+    span = _Hasher(data)
+    _cut_words(model, data, start, span)
     begin = np.flatnonzero(start)
     end = np.append(begin[1:], len(data))
-    span = _Hasher(data)
     unique, lead, which = np.unique(span(begin, end), return_index=True, return_inverse=True)
     slot = model.remembered(unique)
     new = np.flatnonzero(slot < 0)

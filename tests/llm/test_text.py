@@ -324,7 +324,7 @@ def test_models_of_awkward_and_empty_tables(spark, awkward, nothing, module, cal
             assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
 
 
-TRICKY = ["", " ", "  Hello  wörld\n\nfoo\tbar 漢字 🙂 <s> </s> <0x0A>", "a▁b", "a" * 700, " " * 40 + "x" + " " * 17, "\0\x01", "한국어 テスト", "x  y   z    "]
+TRICKY = ["", " ", "  Hello  wörld\n\nfoo\tbar 漢字 🙂 <s> </s> <0x0A>", "a▁b", "a" * 700, " " * 40 + "x" + " " * 17, "\0\x01", "한국어 テスト", "x  y   z    ", "漢字かな交じり文" * 300, "aGVsbG8gd29ybGQ" * 200 + "=" * 50, "ab" * 6000, "é漢" * 100, "the" * 500 + "漢" * 40]
 
 
 @pytest.fixture(scope="module")
@@ -376,6 +376,58 @@ def test_viterbi_of_a_unigram_model_is_the_librarys(texts, library):
         assert ids[offs[i] : offs[i + 1]].tolist() == lib.encode(t)
 
 
+def test_pairs_stand_apart_as_merging_says(raw):
+    """Against plain merging of both pieces' characters, best score first, leftmost among equals."""
+    model, rng = sp.Model(raw), random.Random(3)
+    rank = {b.decode(): s for b, s, t in zip(model.bytes, model.scores, model.types, strict=True) if t == sp.NORMAL}
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            found = [(rank[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+            if not found:
+                return parts
+            k = -max(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    ids = [i for i, t in enumerate(model.types) if t == sp.NORMAL]
+    left, right = (np.array(rng.choices(ids, k=3000)) for _ in range(2))
+    near = [(model.bytes[a] + model.bytes[b]).decode() for a, b in zip(left, right, strict=True)]
+    want = [merged(t) == [model.bytes[a].decode(), model.bytes[b].decode()] for t, a, b in zip(near, left, right, strict=True)]
+    assert model.apart(left, right).tolist() == want and model.apart(left, right).tolist() == want
+    assert 300 < sum(want) < 2950
+
+
+def bpe(pieces):
+    return unigram(pieces).replace(message(2, b"\x18\x01"), message(2, b"\x18\x02"))
+
+
+def test_small_bpe_models_are_the_librarys(library):
+    """Characters of no piece, characters that only occur inside pieces, pieces that merging never reaches."""
+    rng = random.Random(17)
+    for _ in range(20):
+        pieces = {"▁"} | set(rng.sample("abcdeé漢", 5)) | {"".join(rng.choice("▁abcdé") if j == 0 else rng.choice("abcdé") for j in range(rng.randint(2, 5))) for _ in range(40)}
+        raw = bpe([("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, -k, 1) for k, p in enumerate(rng.sample(sorted(pieces), len(pieces))))])
+        model, lib = sp.Model(raw), library.SentencePieceProcessor(model_proto=raw)
+        rows = ["".join(rng.choice("abcdeé漢z  ") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+        ids, offs = sp.encode(model, *flat(rows))
+        for i, t in enumerate(rows):
+            assert ids[offs[i] : offs[i + 1]].tolist() == lib.encode(t)
+
+
+def test_unused_and_user_defined_pieces(library):
+    plain = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -3, 1), ("a", -3, 1), ("b", -3, 1), ("ab", -1, 5), ("▁a", -2, 1)]
+    model, lib = sp.Model(unigram(plain)), library.SentencePieceProcessor(model_proto=unigram(plain))
+    rows = ["ab aab", "b a ab ab", "", "abba"]
+    ids, offs = sp.encode(model, *flat(rows))
+    assert [ids[offs[i] : offs[i + 1]].tolist() for i in range(4)] == [lib.encode(t) for t in rows]
+    with pytest.raises(ValueError, match="UNUSED"):
+        sp.Model(bpe(plain))
+    for make in (unigram, bpe):
+        with pytest.raises(ValueError, match="USER_DEFINED"):
+            sp.Model(make([*plain[:6], ("ab", -1, 4)]))
+
+
 def test_encoding_round_trip(spark, awkward, nothing, raw):
     model = sp.Model(raw)
     rows = sp.encoded(awkward, model)

@@ -318,6 +318,19 @@ def repeated_offsets(r_lcp: np.ndarray, r_size: np.ndarray, left: list[bytes], l
     return low, high
 
 
+def union_of(rk: np.ndarray, rk2: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rk, rk2, low, high): the spans of every row as maximal runs."""
+    order = np.lexsort((low, rk2, rk))
+    rk, rk2, low, high = (x[order] for x in (rk, rk2, low, high))
+    other = np.ones(len(rk), bool)
+    other[1:] = (rk[1:] != rk[:-1]) | (rk2[1:] != rk2[:-1])
+    shift = np.cumsum(other) << 32  # rows apart: one running maximum serves them all
+    reach = np.maximum.accumulate(high + shift)
+    other[1:] |= (low + shift)[1:] > reach[:-1]
+    lead = np.flatnonzero(other)
+    return rk[lead], rk2[lead], low[lead], np.maximum.reduceat(high, lead) if len(lead) else high
+
+
 _FOUND = "rk bigint, rk2 int, low bigint, high bigint"
 
 
@@ -336,7 +349,8 @@ def _runs(length: int, gram: int, parts: int, hot: tuple):
         known = equal & (count[group] > 1)
         at = np.flatnonzero(known)
         if len(at):  # spans found here pass through the merge, spread over its partitions
-            yield _sent((rk[at] % parts).astype(np.int32), pa.nulls(len(at), pa.binary()), rk[at], rk2[at], place[at] - l_size[at], place[at] + r_size[at])
+            found = union_of(rk[at], rk2[at], place[at] - l_size[at], place[at] + r_size[at])
+            yield _sent(((found[0] + found[2]) % parts).astype(np.int32), pa.nulls(len(found[0]), pa.binary()), *found)
         send = np.flatnonzero(~equal | (own == np.arange(len(own))))
         order, _ = _sorted(right[send], r_size[send])
         part = (gram_hash[send] % _U(parts)).astype(np.int64)[order]
@@ -396,7 +410,7 @@ def _merge(length: int, gram: int):
             lefts = [lefts[i] for i in at.tolist()]
             low, high = repeated_offsets(np.array(lcp, np.int64), sizes, lefts, length, span)
             hit = (high >= 0) & (known == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rk[hit]), pa.array(rk2[hit]), pa.array((place - high)[hit]), pa.array((place - low)[hit] + length)], names=["rk", "rk2", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, union_of(rk[hit], rk2[hit], (place - high)[hit], (place - low)[hit] + length))], names=["rk", "rk2", "low", "high"])
 
     return run
 

@@ -54,6 +54,19 @@ def test_spans_with_production_settings_and_hot_passages(spark, texts, monkeypat
     assert {r.doc_id: r[1:5] for r in suffix_dedup.repeated_spans(docs).collect()} == want
 
 
+def test_union_of_spans():
+    rng = random.Random(4)
+    spans = [(rng.randint(-2, 1), rng.randint(0, 1), a, a + rng.randint(1, 9)) for a in rng.choices(range(80), k=60)]
+    want = set()
+    for rk, rk2 in {s[:2] for s in spans}:
+        covered = sorted({x for s in spans if s[:2] == (rk, rk2) for x in range(s[2], s[3])})
+        starts = [x for x in covered if x - 1 not in covered]
+        want |= {(rk, rk2, x, next(y for y in range(x, 200) if y not in covered)) for x in starts}
+    got = suffix_dedup.union_of(*(np.array(x) for x in zip(*spans, strict=True)))
+    assert set(zip(*(x.tolist() for x in got), strict=True)) == want and len(got[0]) == len(want)
+    assert len(suffix_dedup.union_of(*(np.zeros(0, np.int64),) * 4)[0]) == 0
+
+
 def test_pieces_of_long_texts_have_every_string_once(monkeypatch):
     import pyarrow as pa
 

@@ -46,9 +46,13 @@ def normalize(name: Column, entries: Sequence[tuple] | None = None) -> Column:
     entries = vocabulary.entries() if entries is None else entries
     kanji = F.create_map(*[F.lit(x) for e in entries for x in (e[2], e[1])])
     names = F.array(*[F.lit(e[1]) for e in entries])
-    key = fold(name)
-    near = F.filter(names, lambda n: (key.startswith(n) | n.startswith(key)) & (F.abs(F.length(key) - F.length(n)) <= 2))
-    return F.when(F.length(F.trim(name)) > 0, F.coalesce(F.try_element_at(kanji, F.trim(name)), F.when(F.array_contains(names, key), key), F.get(near, F.lit(0))))
+
+    def found(key: Column) -> Column:
+        near = F.filter(names, lambda n: (key.startswith(n) | n.startswith(key)) & (F.abs(F.length(key) - F.length(n)) <= 2))
+        return F.coalesce(F.try_element_at(kanji, F.trim(name)), F.when(F.array_contains(names, key), key), F.get(near, F.lit(0)))
+
+    # transform of one element: the name is folded once, not for every entry
+    return F.when(F.length(F.trim(name)) > 0, F.transform(F.array(fold(name)), found)[0])
 
 
 def ocr_readings(token: Column) -> Column:
@@ -99,6 +103,22 @@ def listing(line: Column) -> Column:
     return F.when(F.size(part) == 2, F.struct(part[0].alias("video"), F.coalesce(part[1].try_cast("double"), F.lit(0.0)).cast("int").alias("duration")))
 
 
+def round2(x: Column) -> Column:
+    """Rounded to two places by the exact binary value, ties to even, as label tables are written (2.675 is 2.67).
+
+    The product with 100 is taken with its rounding error (by splitting x in halves of 26 bits); values of 2^45 or
+    more, and what isn't finite, stay as they are.
+    """
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    product = x * 100
+    error = (high * 100 - product) + (x - high) * 100
+    whole = F.floor(product).cast("double")
+    part = product - whole  # exact
+    up = (part > 0.5) | ((part == 0.5) & (error > 0)) | ((part == 0.5) & (error == 0) & (whole % 2 != 0))
+    return F.when(F.abs(x) < float(1 << 45), F.when(up, (whole + 1) / 100).otherwise(whole / 100)).otherwise(x)
+
+
 def utf8(raw: Column) -> Column:
     """Bytes as text; broken ones become U+FFFD."""
     return F.make_valid_utf8(raw.cast("string"))

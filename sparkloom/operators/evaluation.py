@@ -98,9 +98,21 @@ def nested_pools(ids: DataFrame, ident: str, draws: int, sizes: list[int], hashe
     return rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("rank <= size").select("draw", "size", ident)
 
 
+#: Groups (sources of a labelled set) that the driver deals to folds, or that every row is repeated for.
+MAX_GROUPS, MAX_HELD = 100_000, 1_000
+
+
+def _few(groups: DataFrame, most: int) -> list:
+    rows = groups.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups")
+    return rows
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): the largest group first, always to the lightest fold.  Groups are sources: a driver-sized list."""
-    counts = sorted(((r["n"], r[group]) for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[0], str(x[1])))
+    """(group, fold): the largest group first, always to the lightest fold; MAX_GROUPS groups at most."""
+    rows = _few(df.groupBy(group).agg(F.count("*").alias("n")), MAX_GROUPS)
+    counts = sorted(((r["n"], r[group]) for r in rows), key=lambda x: (-x[0], str(x[1])))
     load, out = [0] * max(1, min(k, len(counts))), []
     for n, g in counts:
         fold = load.index(min(load))
@@ -110,28 +122,32 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def hold_out(df: DataFrame, group: str, share: float = 0.25, seed: int = 0) -> DataFrame:
-    """Adds held_out: a seeded share of the groups, rounded up."""
+    """Adds held_out: a seeded share of the groups, rounded up, by the order of md5(seed:group)."""
     groups = df.select(group).distinct()
-    w = Window.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
+    w = Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group)
     chosen = groups.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
     return df.join(chosen.select(group, (F.col("_r") <= F.ceil(F.col("_n") * share)).alias("held_out")), group)
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """(held, rows, is_test): every row once for each group; the group list is small, the rows aren't shuffled."""
-    held = df.select(F.col(group).alias("held")).distinct()
+    """(held, rows, is_test): every row once for each group, of which there may be MAX_HELD; rows aren't shuffled."""
+    groups = [(r[0],) for r in _few(df.select(group).distinct(), MAX_HELD)]
+    held = df.sparkSession.createDataFrame(groups, f"held {df.schema[group].dataType.simpleString()}")
     return df.crossJoin(F.broadcast(held)).withColumn("is_test", F.col(group).eqNullSafe(F.col("held")))
 
 
 def permutation_test(df: DataFrame, y: str, p: str, group: str, times: int = 200, seed: int = 0) -> DataFrame:
     """(observed, mean, std, z, p_value) of balanced accuracy under label shuffles within groups.
 
-    Each shuffle pairs the i-th label of a group with the i-th prediction in a seeded order.
+    Each shuffle pairs the i-th label of a group with the i-th prediction in a seeded order.  Rows are numbered by
+    their values, so that both sides number them alike whatever the partitions, or a lost executor; rows that agree
+    in label and prediction may change places, which changes nothing.
     """
-    base = df.select(F.col(group).alias("g"), F.col(y).alias("y"), F.col(p).alias("p"), F.monotonically_increasing_id().alias("i"))
+    base = df.select(F.col(group).alias("g"), F.col(y).alias("y"), F.col(p).alias("p"))
+    base = base.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("y", "p")))
     many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times))))
     by = Window.partitionBy("perm", "g")
-    left = many.select("perm", "g", "y", F.row_number().over(by.orderBy(F.when(F.col("perm") == 0, F.col("i")).otherwise(F.xxhash64("perm", "i", F.lit(seed))), "i")).alias("r"))
+    left = many.select("perm", "g", "y", F.row_number().over(by.orderBy(F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64("perm", "g", "i", F.lit(seed))), "i")).alias("r"))
     right = many.select("perm", "g", "p", F.row_number().over(by.orderBy("i")).alias("r"))
     found = scores(left.join(right, ["perm", "g", "r"]), "y", "p", ["perm"]).select("perm", "balanced_accuracy")
     real = F.max(F.when(F.col("perm") == 0, F.col("balanced_accuracy")))

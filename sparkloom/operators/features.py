@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.shipping import ship
@@ -74,13 +74,14 @@ def nearest(df: DataFrame, centres: DataFrame, key: str, label: str, features: s
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multinomial logistic regression: L2 with strength 1/C, balanced class weights; (classes, weights, offsets).
 
-    Newton steps on the full objective sum(w * loss) + |W|^2 / (2C), the offset free.
+    Newton steps on the full objective sum(w * loss) + |W|^2 / (2C), the offset free.  Two classes have one vector W,
+    here as its halves with opposite signs.
     """
     classes, t = np.unique(y, return_inverse=True)
     k, (n, d) = len(classes), x.shape
     w = n / (k * np.bincount(t))[t]
     z = np.hstack([x, np.ones((n, 1))])
-    beta, ridge = np.zeros((d + 1, k)), np.full((d + 1, 1), 1 / c)
+    beta, ridge = np.zeros((d + 1, k)), np.full((d + 1, 1), (2 if k == 2 else 1) / c)
     ridge[-1] = 1e-10
     want = np.eye(k)[t]
 
@@ -119,6 +120,16 @@ def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(0), np.where(std > 0, std, 1.0)
 
 
+#: Rows that one task of :func:`fold_scores`, :func:`pool_scores` or :func:`ward_clusters` may get.
+MAX_ROWS, MAX_WARD = 200_000, 8_000
+
+
+def _bounded(part: pd.DataFrame, most: int) -> pd.DataFrame:
+    if len(part) > most:
+        raise ValueError(f"{len(part)} rows in one set; {most} are the limit")
+    return part
+
+
 def fold_scores(df: DataFrame, folds: DataFrame, key: str, y: str, group: str, features: str = "features") -> DataFrame:
     """(fold, key, y, told): predictions of the head for every fold's rows, fitted on the others.
 
@@ -132,7 +143,7 @@ def fold_scores(df: DataFrame, folds: DataFrame, key: str, y: str, group: str, f
     kind = df.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        test = int(rows["test"].iloc[0])
+        test = int(_bounded(rows, MAX_ROWS)["test"].iloc[0])
         rows = rows.sort_values("key")
         train, held = rows[rows["fold"] != test], rows[rows["fold"] == test]
         if train["y"].nunique() < 2 or not len(held):
@@ -146,6 +157,22 @@ def fold_scores(df: DataFrame, folds: DataFrame, key: str, y: str, group: str, f
     return many.drop(group).groupBy("test").applyInPandas(run, f"fold int, key {kind}, y string, told string")
 
 
+def compared_sets(sets: dict[str, DataFrame], folds: DataFrame, key: str, y: str, group: str) -> DataFrame:
+    """(set, fold, accuracy, balanced_accuracy, f1_macro): the same folds for every feature set, so that they pair."""
+    out = None
+    for name, df in sets.items():
+        rows = fold_metrics(fold_scores(df, folds, key, y, group)).select(F.lit(name).alias("set"), "*")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def paired_sets(found: DataFrame, reference: str, value: str = "balanced_accuracy") -> DataFrame:
+    """(set, mean, se, t, better, n, exact): each set against the reference, fold by fold."""
+    rest = found.where(F.col("set") != reference)
+    base = found.where(F.col("set") == reference).select("fold", value).crossJoin(F.broadcast(rest.select("set").distinct()))  # folds x sets
+    return evaluation.paired_delta(base, rest.select("set", "fold", value), ["fold"], value, ["set"])
+
+
 def fold_metrics(predictions: DataFrame) -> DataFrame:
     return evaluation.scores(predictions, "y", "told", ["fold"])
 
@@ -160,6 +187,7 @@ def pool_scores(df: DataFrame, pools: DataFrame, y: str, group: str, features: s
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
         truth, told = [], []
+        _bounded(pool, MAX_ROWS)
         x, t, g = np.stack(pool["x"]).astype(float), pool["y"].to_numpy(), pool["g"].to_numpy()
         for held in np.unique(g) if len(np.unique(g)) > 1 else []:
             train = g != held
@@ -228,7 +256,7 @@ def ward_clusters(df: DataFrame, key: str, k: int = 24, features: str = "feature
     rows = df.select(F.col(key).alias("key"), F.col(features).alias("x"), (F.col(block) if block else F.lit(0)).cast("string").alias("block"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("key")
+        part = _bounded(part, MAX_WARD).sort_values("key")
         x = np.stack(part["x"]).astype(float)
         std = x.std(1, keepdims=True)
         x = (x - x.mean(1, keepdims=True)) / np.where(std > 0, std, 1.0)
@@ -259,18 +287,27 @@ BAND, EDGE_LEAST = (0.72, 0.98), 4.0
 
 
 def wide_share(frame: np.ndarray) -> float:
-    """Share of the columns with clay on more than 15 % of their height; a wide shot has more than 0.8."""
-    r, g, b = (frame[..., i] for i in range(3))
-    high, low = frame.max(-1), frame.min(-1)
-    clay = (high > CLAY_BRIGHT) & (r > g) & (g > b) & (high - low < CLAY_FLAT * np.maximum(high, 1)) & (r - b > CLAY_WARM)
-    return float((clay.mean(0) > COLUMN_SHARE).mean())
+    """Share of the columns with clay on more than 15 % of their height.
+
+    Clay falls from red over green to blue, so red is its brightness and red less blue its range, which must be warm
+    but not saturated.
+    """
+    red, fall = frame[..., 0], frame[..., :-1] - frame[..., 1:]
+    extent = fall.sum(-1)
+    clay = (fall > 0).all(-1) & (red > CLAY_BRIGHT) & (extent > CLAY_WARM) & (extent < CLAY_FLAT * red)
+    return float(np.mean(np.count_nonzero(clay, axis=0) / len(clay) > COLUMN_SHARE))
+
+
+def is_wide(share: Column) -> Column:
+    """Whether a frame with that share is a wide shot."""
+    return share > FRAME_SHARE
 
 
 def saturation(frame: np.ndarray) -> float:
-    """Mean range of the channels in the band where the banner appears."""
-    h = frame.shape[0]
-    part = frame[int(BAND[0] * h) : int(BAND[1] * h)]
-    return float((part.max(-1) - part.min(-1)).mean())
+    """Mean saturation, 1 - least / greatest channel, of the band where the banner appears: chroma, not brightness."""
+    low, high = (int(edge * len(frame)) for edge in BAND)
+    band = np.sort(frame[low:high].astype(float), axis=-1)
+    return float(np.mean(1 - band[..., 0] / np.maximum(band[..., -1], 1e-6)))
 
 
 def edge_energy(frame: np.ndarray) -> float:

@@ -8,23 +8,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evaluation
+from . import features as vectors
 from .features import fit_logistic
 
 
+#: Rows up to which the head is fitted on the driver; spark.ml fits larger sets.
+DRIVER_ROWS = 20_000
+_MODEL = "label string, weights array<double>, offset double, mean array<double>, std array<double>, dim int"
+
+
 def fit_head(df: DataFrame, y: str, features: str = "features", least: int = 0) -> DataFrame:
     """One row per class (label, weights, offset, mean, std, dim): scaler and head fitted on all labelled rows.
 
-    The labelled set is a few thousand vectors and is fitted on the driver; for larger ones see ``head_pipeline``.
+    Up to DRIVER_ROWS rows by Newton steps on the driver, more by spark.ml; the objective is the same.
     """
-    rows = evaluation.rare_fold(df.select(F.col(y).cast("string").alias("y"), F.col(features).alias("x")), "y", least).toPandas()
-    if rows["y"].nunique() < 2:
+    rows = evaluation.rare_fold(df.select(F.col(y).cast("string").alias("y"), F.col(features).cast("array<double>").alias("x")), "y", least)
+    some = rows.limit(DRIVER_ROWS + 1).toPandas()
+    if len(some) > DRIVER_ROWS:
+        return fit_large(rows)
+    if some["y"].nunique() < 2:
         raise ValueError("a head needs two classes")
-    x = np.stack(rows["x"]).astype(float)
+    x = np.stack(some["x"]).astype(float)
     mean, std = x.mean(0), x.std(0)
     std = np.where(std > 0, std, 1.0)
-    classes, weights, offsets = fit_logistic((x - mean) / std, rows["y"].to_numpy())
+    classes, weights, offsets = fit_logistic((x - mean) / std, some["y"].to_numpy())
     out = [(str(c), weights[:, k].tolist(), float(offsets[k]), mean.tolist(), std.tolist(), x.shape[1]) for k, c in enumerate(classes)]
-    return df.sparkSession.createDataFrame(out, "label string, weights array<double>, offset double, mean array<double>, std array<double>, dim int")
+    return df.sparkSession.createDataFrame(out, _MODEL)
+
+
+def fit_large(rows: DataFrame) -> DataFrame:
+    """:func:`fit_head` of ``rows(y, x)`` by spark.ml."""
+    from pyspark.ml.functions import array_to_vector
+
+    spark = rows.sparkSession
+    classes = sorted(r.y for r in rows.select("y").distinct().collect())  # labels
+    if len(classes) < 2:
+        raise ValueError("a head needs two classes")
+    fitted = vectors.scaler(rows, "x")
+    scale = fitted.first()
+    weighted = vectors.class_weights(vectors.scaled(rows, fitted, "x"), "y")
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1
+    ready = weighted.select(array_to_vector("x").alias("scaled"), number.cast("double").alias("label"), "weight")
+    model = vectors.head_pipeline(len(classes), rows.count()).fit(ready)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    if len(classes) == 2:  # one vector for the second class
+        w, b = np.vstack([-w[0], w[0]]) / 2, np.array([-b[0], b[0]]) / 2
+    out = [(c, w[k].tolist(), float(b[k]), list(scale["mean"]), list(scale["std"]), w.shape[1]) for k, c in enumerate(classes)]
+    return spark.createDataFrame(out, _MODEL)
 
 
 def save_head(model: DataFrame, path: str, **meta: str) -> None:

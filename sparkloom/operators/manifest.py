@@ -82,25 +82,26 @@ def search_tail(df: DataFrame, t: str, start: Column, end: Column, tail: float =
 
 
 def accepted_window(df: DataFrame) -> DataFrame:
-    """Adds t0, t1, reason (null: accepted).  ``df(run_start, run_end, banner, caption_t, purity)``, nulls where none.
+    """Adds t0, t1, span, gap, reason (null: accepted).  ``df(run_start, run_end, banner, caption_t, purity)``, nulls
+    where none.
 
     No run; then a banner up to 12 s into the run gives the sharper start; the end keeps away from the caption; a long
-    run loses its beginning; what is left must be long, near the caption and pure.
+    run loses its beginning; what is left must be long, near the caption and pure.  Reasons: ``no_run``,
+    ``short_span`` (seconds in span), ``far_from_caption`` (seconds in gap), ``unread``, ``impure`` (share in purity).
     """
     run0, run1, banner, cap = (F.col(c) for c in ("run_start", "run_end", "banner", "caption_t"))
     sharp = banner.isNotNull() & (banner - run0).between(0.0, BANNER_LATE) & (run1 - banner >= BANNER_SPAN)
     t1 = F.least(run1, cap - CAPTION_GUARD)
     t0 = F.greatest(F.when(sharp, banner).otherwise(run0), t1 - MAX_SPAN)
-    rows = df.withColumns({"t0": t0, "t1": t1})
-    span, gap = F.col("t1") - F.col("t0"), cap - F.col("t0")
-    reason = (
-        F.when(run0.isNull() | run1.isNull(), F.lit("no wide shot found before the caption"))
-        .when(span < MIN_SPAN, F.format_string("bout span only %.1fs (need %.0fs)", span, F.lit(MIN_SPAN)))
-        .when(gap > MAX_CAPTION_GAP, F.format_string("bout %.0fs before caption (likely an earlier bout)", gap))
-        .when(F.col("purity").isNull(), F.lit("could not decode the chosen window"))
-        .when(F.col("purity") < MIN_PURITY, F.format_string("only %.0f%% of the window is a wide shot", F.col("purity") * 100))
-    )
-    return rows.withColumn("reason", reason)
+    rows = df.withColumns({"t0": t0, "t1": t1}).withColumns({"span": F.col("t1") - F.col("t0"), "gap": cap - F.col("t0")})
+    checks = [
+        ("no_run", run0.isNull() | run1.isNull()),
+        ("short_span", F.col("span") < MIN_SPAN),
+        ("far_from_caption", F.col("gap") > MAX_CAPTION_GAP),
+        ("unread", F.col("purity").isNull()),
+        ("impure", F.col("purity") < MIN_PURITY),
+    ]
+    return rows.withColumn("reason", F.coalesce(*(F.when(failed, F.lit(code)) for code, failed in checks)))
 
 
 def finish_span(df: DataFrame, length: float, tail: float = 0.0) -> DataFrame:

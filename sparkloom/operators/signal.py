@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 MIN_GAP, LEAD, PAD = 15.0, 5.0, 0.2
 
 
+def median_mad(df: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, med, mad): exact median and median absolute deviation."""
+    med = df.groupBy(key).agg(F.median(score).alias("med"))
+    return df.join(med, key).groupBy(key).agg(F.first("med").alias("med"), F.median(F.abs(F.col(score) - F.col("med"))).alias("mad"))
+
+
 def robust_limits(df: DataFrame, key: str, score: str, k: float) -> DataFrame:
     """(key, limit): median + k * MAD, exact; a MAD of 0 counts as 1."""
-    med = df.groupBy(key).agg(F.median(score).alias("med"))
-    dev = df.join(med, key).groupBy(key).agg(F.first("med").alias("med"), F.median(F.abs(F.col(score) - F.col("med"))).alias("mad"))
-    return dev.select(key, (F.col("med") + k * F.coalesce(F.nullif(F.col("mad"), F.lit(0.0)), F.lit(1.0))).alias("limit"))
+    return median_mad(df, key, score).select(key, (F.col("med") + k * F.coalesce(F.nullif(F.col("mad"), F.lit(0.0)), F.lit(1.0))).alias("limit"))
 
 
 def rising_edges(df: DataFrame, key: str, order: list[str], above: Column) -> DataFrame:
@@ -108,5 +112,14 @@ def evenly_spaced(df: DataFrame, key: str, order: list[str], k: int) -> DataFram
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, t: str = "t", t0: str = "t0", t1: str = "t1") -> DataFrame:
-    """Points within [t0, t1) of a span with the same key."""
-    return points.join(spans, key).where((F.col(t) >= F.col(t0)) & (F.col(t) < F.col(t1)))
+    """Points within [t0, t1) of a span with the same key.
+
+    Both sides are joined by key and time bin, so points meet only the spans near them.  Bins are as wide as the mean
+    span, but no span has more than about 1000.
+    """
+    size = spans.agg(F.avg(F.col(t1) - F.col(t0)).alias("mean"), F.max(F.col(t1) - F.col(t0)).alias("most")).first()
+    width = max(float(size["mean"] or 0), float(size["most"] or 0) / 1000, 1e-9)
+    bin_of = lambda c: F.floor(c / F.lit(width))
+    placed = spans.where(F.col(t1) > F.col(t0)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(t0)), bin_of(F.col(t1)))))
+    found = points.withColumn("_bin", bin_of(F.col(t))).join(placed, [key, "_bin"])
+    return found.where((F.col(t) >= F.col(t0)) & (F.col(t) < F.col(t1))).drop("_bin")

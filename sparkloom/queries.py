@@ -79,9 +79,8 @@ def rising_edges(spark, sf_dir):
 
 @query("SELECT event_type, round(any_value(m), 6) AS med, round(median(abs(value - m)), 6) AS mad FROM events JOIN (SELECT event_type, median(value) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY 1")
 def median_mad(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events")
-    med = rows.groupBy("event_type").agg(F.median("value").alias("m"))
-    return rows.join(med, "event_type").groupBy("event_type").agg(F.round(F.first("m"), 6).alias("med"), F.round(F.median(F.abs(F.col("value") - F.col("m"))), 6).alias("mad"))
+    rows = S.median_mad(_t(spark, sf_dir, "events"), "event_type", "value")
+    return rows.select("event_type", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"))
 
 
 @query(f"WITH {_RUNS} SELECT user_id, i, j FROM p WHERE flag AND j - i >= 2")
@@ -147,6 +146,7 @@ def batch_semi(spark, sf_dir):
     return P.of_batch(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), chosen, "l_orderkey")
 
 
+_BOUT = r"(?i)^\s*((?:\d{1,2}:)?\d{1,2}:\d{2})\s*[-–—:]?\s+([A-Za-z][\pL\pN_''.-]*)\s+(?:vs?\.?)\s+([A-Za-z][\pL\pN_''.-]*)"
 _TOKENS = ("cheap-pills", "spam-farm", "blog.", "nothing-here")
 
 
@@ -190,32 +190,37 @@ def plurality_margin(spark, sf_dir):
     return M.plurality(_events(spark, sf_dir), ["user_id"], "event_type", ["t", "event_id"])
 
 
-_LINE = "lpad((turn % 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 7 % 60)::VARCHAR, 2, '0') || CASE WHEN turn % 2 = 0 THEN ' - ' ELSE ' ' END || role || CASE WHEN turn % 3 = 0 THEN ' / ' ELSE ' vs ' END || 'Ryū' || (turn % 5)"
+_LINE = """lpad((turn % 60)::VARCHAR, 2, '0') || ':' || lpad((no * 7 % 60)::VARCHAR, 2, '0') || CASE WHEN turn % 2 = 0 THEN ' - ' ELSE ' ' END || split_part(line, ' ', 1) || CASE WHEN no % 3 = 2 THEN ' / ' ELSE ' vs ' END || split_part(line, ' ', 2)"""
 
 
-@query(f"SELECT conv_id, turn, (turn % 60) * 60 + turn * 7 % 60 AS start, role AS east, 'Ry' || CASE WHEN true THEN 'ū' END || (turn % 5) AS west FROM (SELECT *, {_LINE} AS line FROM conversations) WHERE regexp_matches(line, '(?i)^\\s*((?:\\d{{1,2}}:)?\\d{{1,2}}:\\d{{2}})\\s*[-–—:]?\\s+([A-Za-z][\\pL\\pN_''.-]*)\\s+(?:vs?\\.?)\\s+([A-Za-z][\\pL\\pN_''.-]*)')")
+@query(f"""WITH l AS (SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM conversations), m AS (SELECT *, {_LINE} AS made FROM l), k AS (SELECT 'made' AS kind, conv_id, turn, no, made AS line FROM m UNION ALL SELECT 'plain', conv_id, turn, no, line FROM m)
+ SELECT kind, conv_id, turn, no, split_part(regexp_extract(line, '{_BOUT}', 1), ':', 1)::INT * 60 + split_part(regexp_extract(line, '{_BOUT}', 1), ':', 2)::INT AS start, regexp_extract(line, '{_BOUT}', 2) AS east, regexp_extract(line, '{_BOUT}', 3) AS west FROM k WHERE regexp_matches(line, '{_BOUT}')""")
 def regex_timestamp_lines(spark, sf_dir):
+    """All lines of all conversations, as they are and with a clock before their first two words."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    turn = F.col("turn")
-    line = F.concat(two(turn % 60), F.lit(":"), two(turn * 7 % 60), F.when(turn % 2 == 0, " - ").otherwise(" "), "role", F.when(turn % 3 == 0, " / ").otherwise(" vs "), F.lit("Ryū"), (turn % 5).cast("string"))
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.bout_line(line).alias("b"))
-    return rows.where("b IS NOT NULL").select("conv_id", "turn", F.col("b.start").cast("bigint").alias("start"), "b.east", "b.west")
+    word = lambda i: F.coalesce(F.get(F.split("line", " "), F.lit(i)), F.lit(""))
+    lines = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    made = F.concat(two(F.col("turn") % 60), F.lit(":"), two(F.col("no") * 7 % 60), F.when(F.col("turn") % 2 == 0, " - ").otherwise(" "), word(0), F.when(F.col("no") % 3 == 2, " / ").otherwise(" vs "), word(1))
+    both = lines.withColumn("k", F.explode(F.array(F.struct(F.lit("made").alias("kind"), made.alias("l")), F.struct(F.lit("plain").alias("kind"), F.col("line").alias("l")))))
+    rows = both.select("k.kind", "conv_id", "turn", "no", X.bout_line(F.col("k.l")).alias("b"))
+    return rows.where("b IS NOT NULL").select("kind", "conv_id", "turn", "no", F.col("b.start").alias("start"), "b.east", "b.west")
 
 
 _VOCABULARY = ", ".join(f"({i}, '{n}', '{k}')" for i, n, k, _, _ in vocabulary.entries())
 
 
 @query(f"""WITH v(ord, name, kanji) AS (VALUES {_VOCABULARY}),
- p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN upper(substr(name, 1, greatest(1, length(name) - p_size % 5))) WHEN 1 THEN ' ' || name || repeat('x', p_size % 4) ELSE kanji END AS raw FROM part JOIN v ON p_partkey % 89 = ord),
+ p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN upper(substr(name, 1, greatest(1, length(name) - p_size % 7))) WHEN 1 THEN ' ' || name || repeat('x', p_size % 4) WHEN 2 THEN kanji WHEN 3 THEN reverse(name) ELSE p_type END AS raw FROM part JOIN v ON p_partkey % 89 = ord),
  k AS (SELECT *, replace(replace(replace(replace(lower(trim(raw)), '''', ''), '-', ''), ' ', ''), '_', '') AS key FROM p),
  m AS (SELECT p_partkey, v.name, v.ord, CASE WHEN kanji = trim(raw) THEN 0 WHEN name = key THEN 1 ELSE 2 END AS how FROM k JOIN v ON kanji = trim(raw) OR name = key OR ((starts_with(key, name) OR starts_with(name, key)) AND abs(length(key) - length(name)) <= 2))
- SELECT p_partkey, name FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY how, ord) = 1""")
+ SELECT p_partkey, name FROM part LEFT JOIN (SELECT p_partkey, name FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY how, ord) = 1) USING (p_partkey)""")
 def normalize_vocab(spark, sf_dir):
     dim = vocabulary.taxonomy(spark)
     rows = _t(spark, sf_dir, "part").join(F.broadcast(dim), (F.col("p_partkey") % 89) == F.col("ord"))
     size, name = F.col("p_size"), F.col("name")
-    raw = F.when(size % 3 == 0, F.upper(F.substr(name, F.lit(1), F.greatest(F.lit(1), F.length(name) - size % 5)))).when(size % 3 == 1, F.concat(F.lit(" "), name, F.repeat(F.lit("x"), size % 4))).otherwise(F.col("kanji"))
-    return rows.select("p_partkey", X.normalize(raw).alias("name")).where("name IS NOT NULL")
+    cut = F.upper(F.substr(name, F.lit(1), F.greatest(F.lit(1), F.length(name) - size % 7)))
+    raw = F.when(size % 5 == 0, cut).when(size % 5 == 1, F.concat(F.lit(" "), name, F.repeat(F.lit("x"), size % 4))).when(size % 5 == 2, F.col("kanji")).when(size % 5 == 3, F.reverse(name)).otherwise(F.col("p_type"))
+    return rows.select("p_partkey", X.normalize(raw).alias("name"))
 
 
 @query("SELECT doc_id, translate(text, '1!|[]/\\05862', 'IIIIIIIOSBGZ') AS fixed FROM documents")
@@ -233,22 +238,18 @@ def _spans(spark, sf_dir) -> DataFrame:
 _ACCEPT = """s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN l_quantity END AS r0, l_quantity + l_extendedprice / 2000 AS r1, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity + l_discount * 100 END AS b, l_quantity + l_extendedprice / 2000 + l_tax * 1000 AS cap, 1 - l_discount AS purity FROM lineitem),
  e AS (SELECT *, least(r1, cap - 8) AS t1, CASE WHEN b IS NOT NULL AND b - r0 BETWEEN 0 AND 12 AND r1 - b >= 3 THEN b ELSE r0 END AS s0 FROM s),
  w AS (SELECT *, greatest(s0, t1 - 30) AS t0 FROM e),
- a AS (SELECT *, CASE WHEN r0 IS NULL OR r1 IS NULL THEN 'no wide' WHEN t1 - t0 < 8 THEN 'bout span only' WHEN cap - t0 > 70 THEN 'bout' WHEN purity < 0.9 THEN 'only' ELSE 'kept' END AS reason FROM w)"""
+ a AS (SELECT *, CASE WHEN r0 IS NULL OR r1 IS NULL THEN 'no_run' WHEN t1 - t0 < 8 THEN 'short_span' WHEN cap - t0 > 70 THEN 'far_from_caption' WHEN purity < 0.9 THEN 'impure' END AS reason FROM w)"""
 
 
-def _head(reason: str):
-    return F.when(F.col(reason).isNull(), "kept").when(F.col(reason).startswith("no wide"), "no wide").when(F.col(reason).startswith("bout span only"), "bout span only").when(F.col(reason).startswith("bout"), "bout").otherwise("only")
-
-
-@query(f"WITH {_ACCEPT} SELECT l_orderkey, l_linenumber, CASE WHEN reason <> 'no wide' THEN t0 END AS t0, t1, reason FROM a")
+@query(f"WITH {_ACCEPT} SELECT l_orderkey, l_linenumber, CASE WHEN r0 IS NOT NULL THEN t0 END AS t0, t1, coalesce(reason, 'kept') AS reason FROM a")
 def accept_reason_chain(spark, sf_dir):
     rows = _spans(spark, sf_dir)
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("run_start").isNotNull(), F.col("t0")).alias("t0"), "t1", _head("reason").alias("reason"))
+    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("run_start").isNotNull(), F.col("t0")).alias("t0"), "t1", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
-@query(f"WITH {_ACCEPT} SELECT reason, count(*) AS n FROM a GROUP BY 1")
+@query(f"WITH {_ACCEPT} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM a GROUP BY 1")
 def drop_reasons(spark, sf_dir):
-    return M.drop_reasons(_spans(spark, sf_dir).select(_head("reason").alias("reason")))
+    return M.drop_reasons(_spans(spark, sf_dir).select("reason"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity + l_extendedprice / 5000 - l_quantity < 5 THEN l_quantity ELSE l_quantity + l_extendedprice / 5000 - 4 END AS f0 FROM lineitem")
@@ -263,10 +264,10 @@ def miss_rate_alarm(spark, sf_dir):
     return M.miss_rate(rows, F.col("quality").isNull()).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT l_returnflag, min(l_quantity) AS low, list_sort(list(l_quantity))[count(*) // 2 + 1] AS mid, max(l_quantity) AS high FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, min(l_quantity) AS low, list_sort(list(l_quantity))[count(*) // 2 + 1] AS mid, max(l_quantity) AS high FROM lineitem GROUP BY 1")
 def upper_median_span(spark, sf_dir):
-    mid = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity DESC)")  # the upper of two middles
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), mid.alias("mid"), F.max("l_quantity").alias("high"))
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("low"), F.collect_list("l_quantity").alias("all"), F.max("l_quantity").alias("high"))
+    return rows.select("l_orderkey", "low", X.upper_median(F.col("all")).alias("mid"), "high")  # an order has few lines
 
 
 @query("SELECT CASE WHEN n < 50 THEN 'other' ELSE label::VARCHAR END AS label, sum(n)::BIGINT AS n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) GROUP BY 1")
@@ -342,12 +343,12 @@ def nested_pools(spark, sf_dir):
     return E.nested_pools(_t(spark, sf_dir, "customer"), "c_custkey", 5, [5, 20, 50])
 
 
-@query("SELECT vec_id, len(embedding[1:8] || embedding[33:40])::INT AS dim, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[40]::DOUBLE, 5) AS last FROM embeddings")
+@query("SELECT vec_id, unnest(range(len(v)))::INT AS dim, round(unnest(v)::DOUBLE, 5) AS x FROM (SELECT vec_id, embedding[33:] || embedding[1:32] AS v FROM embeddings)")
 def feature_concat_align(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
-    part = lambda a: rows.select("vec_id", F.slice("embedding", a, 8).alias("features"))
-    both = V.aligned([part(1), part(33)], "vec_id")
-    return both.select("vec_id", F.size("features").alias("dim"), F.round(F.col("features")[0].cast("double"), 5).alias("first"), F.round(F.element_at("features", -1).cast("double"), 5).alias("last"))
+    part = lambda a, n: rows.select("vec_id", F.slice("embedding", a, n).alias("features"))
+    both = V.aligned([part(33, 1 << 20), part(1, 32)], "vec_id")
+    return V.dimensions(both, "vec_id").select("vec_id", "dim", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("SELECT * FROM (VALUES ('all', (SELECT count(*) FROM embeddings), 'reference'), ('copy', (SELECT count(*) FROM embeddings), 'fresh'), ('some', (SELECT count(*) FROM embeddings WHERE label < 5), 'stale'), ('more', (SELECT count(*) FROM embeddings WHERE label < 5), 'conflict'), ('order', (SELECT count(*) FROM embeddings), 'conflict')) v(cache, n, status)")
@@ -470,7 +471,7 @@ def _named(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "supplier").join(dim, (F.col("s_suppkey") * 3 % 89) == F.col("ord")).select("s_suppkey", "name")
 
 
-_PAIRS = ", ".join(f"('{k}', '{a}', '{b}', {i})" for i, (k, (a, b)) in enumerate([("outcome", p.split(" ")) for p in vocabulary.OUTCOME_PAIRS.split(", ")] + [("grip", p.split(" ")) for p in vocabulary.GRIP_PAIRS.split(", ")]))
+_PAIRS = ", ".join(f"('{k}', '{a}', '{b}', {i})" for k, a, b, i in vocabulary.pair_rows())
 _NAMED = f"v(ord, name, kanji) AS (VALUES {_VOCABULARY}), q(kind, a, b, i) AS (VALUES {_PAIRS}), s AS (SELECT s_suppkey, name FROM supplier JOIN v ON s_suppkey * 3 % 89 = ord)"
 
 
@@ -519,3 +520,9 @@ def frames_between(spark, sf_dir):
 def head_predictions(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
     return H.predict(rows, H.fit_head(rows, "label"), "vec_id")
+
+
+from sparkloom import more_queries as _more  # noqa: E402
+
+QUERIES |= _more.QUERIES
+ORACLES |= _more.ORACLES

@@ -6,6 +6,7 @@ not an exception.
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,53 @@ def run_tool(df: DataFrame, tool: Callable[..., object], columns: list[str], out
     return df.mapInPandas(run, f"{fields}, `{out}` string, reason string")
 
 
+def missing_tools(names: list[str]) -> list[str]:
+    """Programs of a list that aren't on the driver's path, to be reported before a long run."""
+    return [n for n in names if shutil.which(n) is None]
+
+
+def page_texts(stills: DataFrame, together: Callable[[list], str], alone: Callable[[object], str], column: str, size: int = 32) -> DataFrame:
+    """Adds ``text``: stills are read ``size`` at a time as form-feed separated pages; where the number of pages isn't
+    that of the stills, or the run fails, they are read one by one, and one that fails has null."""
+
+    def one(still: object) -> str | None:
+        try:
+            return alone(still)
+        except (OSError, ValueError):
+            return None
+
+    def read(stills: list) -> list:
+        try:
+            parts = together(stills).removesuffix("\f").split("\f")
+        except (OSError, ValueError):
+            parts = []
+        return parts if len(parts) == len(stills) else [one(s) for s in stills]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stills = b[column].tolist()
+            yield b.assign(text=[t for a in range(0, len(stills), size) for t in read(stills[a : a + size])])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stills.schema.fields)
+    return stills.mapInPandas(run, f"{fields}, text string")
+
+
+def dead(rows: DataFrame, key: str) -> DataFrame:
+    """Ids of rows that a tool failed on, to be recorded so that no later run tries them."""
+    return rows.where("reason IS NOT NULL").select(F.col(key).cast("string").alias(key)).distinct()
+
+
+def thumbnails(rows: DataFrame, name: str, pixels: str, size: int) -> DataFrame:
+    """(name, features): pixels of ``size`` bytes as standardised vectors; names that begin with ``probe_`` and short
+    reads are skipped."""
+    from sparkloom.functions.text import standardized
+
+    whole = rows.where(~F.col(name).startswith("probe_") & (F.octet_length(pixels) == size))
+    hexes = F.regexp_extract_all(F.hex(pixels), F.lit("[0-9A-F]{2}"), F.lit(0))
+    numbers = F.transform(hexes, lambda x: F.conv(x, 16, 10).cast("double"))
+    return whole.select(name, numbers.alias("_v")).select(name, standardized(F.col("_v")).alias("features"))
+
+
 def remote(target: Column) -> Column:
     """Whether a target is a url rather than a file."""
     return target.rlike("^https?://")

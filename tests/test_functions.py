@@ -81,3 +81,11 @@ def test_queries_are_registered(sql):
     from sparkloom import queries
 
     assert sql in queries.QUERIES and sql in queries.ORACLES
+
+
+def test_rounding_is_by_the_binary_value(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [2.675, 0.125, 1.005, -2.675, -0.125, 0.375, 0.005, 0.015, 0.0, 1e300, 123456789.125, *(rng.uniform(-1000, 1000) for _ in range(300)), *(rng.randrange(-100000, 100000) / 1000 for _ in range(500))]
+    assert values(spark, rows, X.round2(F.col("x")), "x double") == [round(x, 2) for x in rows]

@@ -96,3 +96,35 @@ def test_streamed_min_gap_equals_batch(spark, tmp_path):
 def test_sessions(spark):
     df = spark.sql("SELECT 1 AS u, timestamp_ntz'2024-01-01 00:00:00' AS ts UNION ALL SELECT 1, timestamp_ntz'2024-01-01 00:05:00' UNION ALL SELECT 1, timestamp_ntz'2024-01-01 01:00:00'")
     assert sorted(r.n for r in I.sessions(df, "u", "ts", "10 minutes").collect()) == [1, 2]
+
+
+def test_pages_fall_back_to_single_stills(spark):
+    def together(stills):
+        if "boom" in stills:
+            raise OSError("failed")
+        return "\f".join("x" if s == "lost" else s.upper() for s in stills if s != "lost") + "\f"
+
+    def alone(still):
+        if still == "bad":
+            raise ValueError(still)
+        return still.upper()
+
+    for rows in (["a", "b", "c"], ["a", "lost", "bad"], ["a", "boom", "c"]):
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").coalesce(1)
+        got = [r.text for r in tools.page_texts(df, together, alone, "s", 3).orderBy("i").collect()]
+        assert got == [None if s == "bad" else s.upper() for s in rows]
+
+
+def test_tools_are_checked_and_failures_recorded(spark):
+    assert tools.missing_tools(["python", "no-such-tool"]) == ["no-such-tool"]
+    rows = spark.createDataFrame([("a", None), ("b", "OSError: x"), ("b", "OSError: y")], "video string, reason string")
+    assert [r.video for r in tools.dead(rows, "video").collect()] == ["b"]
+
+
+def test_command_surface(capsys):
+    from sparkloom.__main__ import main
+
+    main([])
+    assert "window_location" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["no-such-query"])

@@ -166,12 +166,12 @@ def _rest(view: Callable, keys: int) -> Callable:
     return run
 
 
-def linked(rows: DataFrame, sizes: DataFrame, keys: list[str], limit: int, view: Callable, keep: bool = False) -> DataFrame:
+def linked(rows: DataFrame, sizes: DataFrame, keys: list[str], limit: int, view: Callable) -> DataFrame:
     """(a, b): edges whose components, within every group, are those of all links between its members.
 
     ``rows(keys, rid, ...)`` are the members with what ``view`` needs; ``sizes(keys, weight, many)``, a stored table,
-    has every group's weight and number of members, ``limit`` is the weight that one task may hold.  With ``keep``
-    the rows of large groups are written once rather than made for each of the three steps.
+    has every group's weight and number of members, ``limit`` is the weight that one task may hold.  The rows of large
+    groups are written once, for all three steps.
     """
     blocks = F.least(F.col("many"), F.ceil(F.col("weight") / limit)).cast("int")
     sizes = sizes.select(*keys, blocks.alias("nb"), "weight", "many")
@@ -188,9 +188,7 @@ def linked(rows: DataFrame, sizes: DataFrame, keys: list[str], limit: int, view:
         return small
 
     drawn = F.least(F.lit(DRAWN), F.greatest(F.lit(1), F.floor(F.col("many") * (limit / 4) / F.col("weight"))))  # a quarter of a block
-    every = rows.join(big, keys).withColumns({"i": F.lit(0), "j": F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"), "guest": F.lit(False), "drawn": drawn})
-    if keep:
-        every = stored(every)
+    every = stored(rows.join(big, keys).withColumns({"i": F.lit(0), "j": F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"), "guest": F.lit(False), "drawn": drawn}))
     by = [*keys, "i", "j"]
 
     def everywhere(df: DataFrame, count: Column) -> DataFrame:

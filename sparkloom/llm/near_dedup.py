@@ -31,7 +31,7 @@ BITS, MANTISSA, ROWS = 7, 10, 4
 REGISTERS = 1 << BITS
 BANDS = REGISTERS // ROWS
 #: Items of one bucket, and shingles of one cluster, that a task may hold.
-BUCKET_BLOCK, CLUSTER_BLOCK = 500, 500_000
+BUCKET_BLOCK, CLUSTER_BLOCK = 5_000, 500_000
 _COLLISION = 0.169919487159739 / (1 << MANTISSA)
 _U = np.uint64
 
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         whose = clusters.select("cid", "rid", F.col("first.doc_id").alias("f_id"), F.col("first.mark").alias("f_mark"))
         # merged at every size: a broadcast would be as long as the list of candidates
         texts = docs.join(whose.hint("merge"), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))).select("cid", "rid", "text")
-        edges = stored(linked(texts, sizes, ["cid"], CLUSTER_BLOCK, _by_shingles(words, percent), keep=True))
+        edges = stored(linked(texts, sizes, ["cid"], CLUSTER_BLOCK, _by_shingles(words, percent)))
         links = stored(components(edges))
         for used in (near, clusters, sizes, edges):
             dropped(used)

@@ -107,24 +107,27 @@ def index_vectors(n: int, salt: int) -> np.ndarray:
 
 
 def context_sums(data: np.ndarray, offs: np.ndarray, index: tuple[np.ndarray, np.ndarray], sums: np.ndarray) -> int:
-    """Adds to ``sums`` (FORMS + SHAPES rows) the index vectors around every word, to its form and to its shape; words."""
+    """Adds to ``sums`` (DIM x (FORMS + SHAPES)) the index vectors around every word, to its form and to its shape;
+    returns the number of words.  All are whole numbers, so that the order of sums doesn't matter."""
     form, shape, first = terms(data, offs)
-    own = index[0][form] + index[1][shape]
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    around = np.zeros_like(own)
-    for d in range(1, WINDOW + 1):
-        near = (text[d:] == text[:-d])[:, None]
-        around[d:] += own[:-d] * near
-        around[:-d] += own[d:] * near
-    for term in (form, shape + FORMS) if len(form) else ():
-        order = np.argsort(term, kind="stable")
-        lead = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-        sums[term[order][lead]] += np.add.reduceat(around[order], lead, axis=0).astype(np.int64)  # small whole numbers
+    if not len(form):
+        return 0
+    # words with WINDOW empty places before, between and behind texts; those have a term of their own, without index
+    at = np.arange(len(form)) + WINDOW * (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1)
+    forms, shapes = np.full(len(form) + WINDOW * len(first), FORMS), np.full(len(form) + WINDOW * len(first), SHAPES)
+    forms[at], shapes[at] = form, shape
+    inner, n = slice(WINDOW, -WINDOW), len(forms) - 2 * WINDOW
+    for d in range(DIM):
+        own = index[0][d][forms] + index[1][d][shapes]
+        around = sum(own[k : k + n] for k in range(2 * WINDOW + 1) if k != WINDOW)
+        sums[d, :FORMS] += np.bincount(forms[inner], around, FORMS + 1)[:-1]
+        sums[d, FORMS:] += np.bincount(shapes[inner], around, SHAPES + 1)[:-1]
     return len(form)
 
 
 def index_tables() -> tuple[np.ndarray, np.ndarray]:
-    return index_vectors(FORMS, 31), 2 * index_vectors(SHAPES, 37)
+    """DIM rows of numbers of all forms, and of all shapes; each with one more term that has none."""
+    return tuple(np.ascontiguousarray(np.vstack([v, np.zeros((1, DIM))]).T.astype(np.float64)) for v in (index_vectors(FORMS, 31), 2 * index_vectors(SHAPES, 37)))
 
 
 def as_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,20 +138,20 @@ def as_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def context_vectors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of some texts alone."""
-    sums, index = np.zeros((FORMS + SHAPES, DIM), np.int64), index_tables()
+    sums, index = np.zeros((DIM, FORMS + SHAPES)), index_tables()
     for a, b in tc.cuts(offs, 1 << 19):
         context_sums(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], index, sums)
-    return as_vectors(sums)
+    return as_vectors(sums.T)
 
 
 def corpus_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of all documents: every task sums its texts, blocks of terms are summed over tasks."""
 
     def count(batches):
-        sums, index, words = np.zeros((FORMS + SHAPES, DIM), np.int64), index_tables(), 0
+        sums, index, words = np.zeros((DIM, FORMS + SHAPES)), index_tables(), 0
 
         def sent():
-            blocks = sums.astype(np.int32).reshape(-1, BLOCK * DIM)
+            blocks = sums.T.astype(np.int32).reshape(-1, BLOCK * DIM)
             some = np.flatnonzero(blocks.any(1))
             return pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "sums"])
 

@@ -181,7 +181,7 @@ def test_quality_vectors_are_of_all_documents(spark, texts):
         if not len(form):
             continue
         word = form[0] if word is None else word
-        own = index_forms[form] + index_shapes[shape]
+        own = index_forms.T[form] + index_shapes.T[shape]
         for i in np.flatnonzero(form == word):
             want += sum(own[j] for j in range(max(0, i - 2), min(len(form), i + 3)) if j != i)
     assert np.allclose(quality_model.context_vectors(*flat(texts))[0][word], want / np.linalg.norm(want))

@@ -109,6 +109,15 @@ def embed(frames: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarra
     return frames.mapInPandas(run, f"{fields}, features array<float>")
 
 
+def restored(parameters: dict[str, np.ndarray], saved: dict[str, np.ndarray], expected: int) -> dict[str, np.ndarray]:
+    """An encoder's parameters with those that loading lost (biases, say) put back from ``saved``; fails unless exactly
+    ``expected`` of them are known and have the same shape, as a half-restored encoder gives vectors of another space."""
+    known = [k for k, v in saved.items() if k in parameters and parameters[k].shape == v.shape]
+    if len(known) != expected or len(saved) != expected:
+        raise ValueError(f"{len(known)} of {len(saved)} saved parameters fit; {expected} must")
+    return {**parameters, **saved}
+
+
 def scene_cuts(log: Column) -> Column:
     """Seconds of scene cuts in a tool's log."""
     return F.transform(F.regexp_extract_all(log, F.lit(r"pts_time:([0-9.]+)"), F.lit(1)), lambda x: x.try_cast("double"))

@@ -128,3 +128,14 @@ def test_command_surface(capsys):
     assert "window_location" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["no-such-query"])
+
+
+def test_restored_parameters_are_counted():
+    import numpy as np
+
+    have = {"q.bias": np.zeros(2), "v.bias": np.zeros(2), "w": np.ones((2, 2))}
+    saved = {"q.bias": np.ones(2), "v.bias": np.full(2, 2.0)}
+    assert tools.restored(have, saved, 2)["v.bias"].tolist() == [2.0, 2.0] and have["v.bias"].tolist() == [0.0, 0.0]
+    for wrong in ({"q.bias": np.ones(2)}, {**saved, "x": np.ones(2)}, {"q.bias": np.ones(3), "v.bias": np.ones(2)}):
+        with pytest.raises(ValueError, match="fit"):
+            tools.restored(have, wrong, 2)

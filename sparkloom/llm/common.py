@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.shipping import ship
+from sparkloom.sources.tables import shared_folder
 
 #: White space of all word and text contracts here, as a character class.
 BLANK = r"[\x20\x09-\x0D]"
@@ -43,24 +43,13 @@ def release() -> None:
         trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset on a single machine (tests), an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
 
     The files go at the end of the driver, or earlier with :func:`dropped`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)

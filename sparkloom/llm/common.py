@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,28 @@ def mapped(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def partition_key(place: np.ndarray) -> np.ndarray:
+    """Whole numbers that ``repartition(n, key)`` deals to the partitions ``place``, one for each: Spark's hash of an int
+    is a bijection of 32 bits, and this is its inverse.  Numbers dealt as they are would share partitions by chance."""
+    bits = np.uint64(0xFFFFFFFF)
+
+    def times(h: np.ndarray, factor: int) -> np.ndarray:  # inverse of h * factor
+        return h * np.uint64(pow(factor, -1, 1 << 32)) & bits
+
+    def turned(h: np.ndarray, n: int) -> np.ndarray:  # inverse of a rotation to the left
+        return (h >> np.uint64(n) | h << np.uint64(32 - n)) & bits
+
+    h = np.asarray(place).astype(np.uint64)
+    h ^= h >> np.uint64(16)
+    h = times(h, 0xC2B2AE35)
+    h ^= (h >> np.uint64(13)) ^ (h >> np.uint64(26))
+    h = times(h, 0x85EBCA6B)
+    h ^= (h >> np.uint64(16)) ^ np.uint64(4)
+    h = turned(times((h + np.uint64((1 << 32) - 0xE6546B64)) & bits, 5), 13) ^ np.uint64(42)
+    h = times(turned(times(h, 0x1B873593), 15), 0xCC9E2D51)
+    return h.astype(np.uint32).view(np.int32)
+
+
 def release() -> None:
     """Workers live on between tasks; without this their allocator keeps the largest size they ever had."""
     gc.collect()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import mapped
+from .common import mapped, partition_key
 from .linking import groups
 
 LENGTH, GRAM = 200, 16
@@ -350,7 +350,7 @@ def _runs(length: int, gram: int, parts: int, hot: tuple):
         at = np.flatnonzero(known)
         if len(at):  # spans found here pass through the merge, spread over its partitions
             found = union_of(rk[at], rk2[at], place[at] - l_size[at], place[at] + r_size[at])
-            yield _sent(((found[0] + found[2]) % parts).astype(np.int32), pa.nulls(len(found[0]), pa.binary()), *found)
+            yield _sent((found[0] + found[2]) % parts, pa.nulls(len(found[0]), pa.binary()), *found)
         send = np.flatnonzero(~equal | (own == np.arange(len(own))))
         order, _ = _sorted(right[send], r_size[send])
         part = (gram_hash[send] % _U(parts)).astype(np.int64)[order]
@@ -359,7 +359,7 @@ def _runs(length: int, gram: int, parts: int, hot: tuple):
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         blobs = [_pack(right, r_size, left, l_size, known, rk, rk2, place, order[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         none = pa.nulls(len(blobs), pa.int64())
-        yield _sent(part[edge[:-1]].astype(np.int32), pa.array(blobs, pa.binary()), none, pa.nulls(len(blobs), pa.int32()), none, none)
+        yield _sent(part[edge[:-1]], pa.array(blobs, pa.binary()), none, pa.nulls(len(blobs), pa.int32()), none, none)
 
     def run(batches):
         held, size, segments = [], 0, 0
@@ -387,7 +387,7 @@ def _runs(length: int, gram: int, parts: int, hot: tuple):
 
 
 def _sent(part, run, rk, rk2, low, high) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part), run, *map(pa.array, (rk, rk2, low, high))], names=["part", "run", "rk", "rk2", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(partition_key(part)), run, *map(pa.array, (rk, rk2, low, high))], names=["part", "run", "rk", "rk2", "low", "high"])
 
 
 def _merge(length: int, gram: int):

@@ -249,6 +249,15 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_every_partition_gets_its_key(spark):
+    from sparkloom.llm.common import partition_key
+
+    for n in (1, 7, 83):
+        keys = spark.createDataFrame([(i, int(k)) for i, k in enumerate(partition_key(np.arange(n)))], "i int, k int")
+        assert all(r.i == r.p for r in keys.repartition(n, "k").select("i", F.spark_partition_id().alias("p")).collect())
+    assert len(set(partition_key(np.arange(100_000)).tolist())) == 100_000
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 

@@ -22,8 +22,8 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BLOCK, SHARDS, SEED = 64, 64, 20240607
 #: Sources that one mix may have: their draws are a vector in the tree.
 MAX_SOURCES = 10_000
-#: Documents of a source are summed in hash buckets of about this many, so that no source needs one task.
-BUCKET_DOCS = 2_000
+#: Documents are summed in hash buckets of about this many, and these in runs, so that no source needs one task.
+BUCKET_DOCS, RUN_BUCKETS = 1_000, 4_096
 #: Documents of one task that places blocks, and words of one task that shuffles a piece of a shard.
 TASK_DOCS, TASK_WORDS = 8_000, 2_000_000
 
@@ -166,10 +166,13 @@ def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHA
     ends = quotas(goals.select("ord", "draws"), shards, seed).groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
     total = goals.agg(F.sum("target")).first()[0] or 0
     goals = goals.join(ends, "ord")
-    base = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    names = {c: "g_" + c for c in goals.columns}
-    parts = parts.select("source", "bucket", base.alias("base")).join(goals.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("g_source")))
-    parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), "base", *(F.col("g_" + c).alias(c) for c in goals.columns if c != "source")))
+    parts = parts.withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS))
+    runs = parts.groupBy("source", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(F.col("run").alias("g_run"), F.col("source").alias("r_source"), (F.sum("words").over(Window.partitionBy("source").orderBy("run")) - F.col("words")).alias("before"))
+    goals = runs.join(goals.withColumnsRenamed({c: "g_" + c for c in goals.columns}), F.col("r_source").eqNullSafe(F.col("g_source"))).drop("r_source")
+    base = F.sum("words").over(Window.partitionBy("source", "run").orderBy("bucket")) - F.col("words")
+    parts = parts.select("source", "bucket", "run", base.alias("base")).join(goals, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("run") == F.col("g_run")))
+    parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), (F.col("before") + F.col("base")).alias("base"), *(F.col(c).alias(c[2:]) for c in goals.columns if c.startswith("g_") and c not in ("g_source", "g_run"))))
 
     # a count of its own: adaptive execution would put this small but laborious input in few tasks
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_DOCS))

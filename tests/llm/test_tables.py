@@ -71,6 +71,21 @@ def test_shards_decide_what_is_taken(spark, monkeypatch):
     assert mixed.select(F.sum(mixing.word_count())).first()[0] == sum(r.taken for r in rows) < 1.5 * 40 * 300
 
 
+def test_mix_of_many_buckets(spark, monkeypatch):
+    """Streams of several runs of buckets: every word has a place of its own."""
+    docs = documents(spark, [(i, "w " * (i % 90), "en", "abc"[i % 3] if i % 7 else None) for i in range(300)])
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 5)
+    monkeypatch.setattr(mixing, "RUN_BUCKETS", 4)
+    got = mixing.mix(docs).collect()
+    sizes, taken, target = {}, {}, {}
+    for r in got:
+        for table, n in ((sizes, r.size), (taken, r.taken)):
+            table[r.source_size] = table.get(r.source_size, 0) + n
+        target[r.source_size] = r.target
+    assert len(sizes) == 4 and all(size == total for size, total in sizes.items())
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in sizes)
+
+
 def test_owner_of_a_draw(spark):
     ends = [0, 3, 3, 10, 11]
     got = spark.range(13).select(mixing.owner(F.array(*map(F.lit, ends)), F.col("id"), 5).alias("s")).collect()

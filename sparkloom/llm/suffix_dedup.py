@@ -34,8 +34,10 @@ from .common import mapped, partition_key
 from .linking import groups
 
 LENGTH, GRAM = 200, 16
-#: Text bytes behind one sorted run, and behind one partition of the merge; segments of a run at most.
+#: Text bytes behind one sorted run, and behind one merge; segments of a run at most.
 RUN_BYTES, PART_BYTES, RUN_SEGMENTS = 8 << 20, 10 << 20, 1 << 17
+#: Merges of one partition, one after the other: the pieces of a run that are exchanged are this much longer.
+MERGES = 4
 #: Long texts are read in pieces of so many starts; so many segments are worked on at once.
 PIECE, CHUNK = 4 << 20, 1 << 16
 #: One slice in so many is sampled for hot k-grams, and so many of these are listed at most, about.
@@ -173,38 +175,47 @@ def _lcps(rows: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def _pack(right, right_size, left, left_size, known, rk, rk2, place, order) -> bytes:
-    """A front-coded run, zstd-compressed: lengths and common prefixes, owners, then the bytes that are new."""
-    n = len(order)
+def _pack(right, right_size, left, left_size, known, rk, rk2, place, order, counts) -> bytes:
+    """A front-coded run, zstd-compressed: lengths and common prefixes, owners, then the bytes that are new.
+
+    ``counts`` has the rows of each merge, which are coded apart.
+    """
     r_lcp, l_lcp = _lcps(right, right_size, order), _lcps(left, left_size, order)
+    first = np.cumsum(counts)[:-1]
+    first = first[first < len(order)]
+    r_lcp[first] = l_lcp[first] = 0
     cols = np.arange(right.shape[1])
     r_tail = right[order][(cols >= r_lcp[:, None]) & (cols < right_size[order][:, None])]
     cols = np.arange(left.shape[1])
     l_tail = left[order][(cols >= l_lcp[:, None]) & (cols < left_size[order][:, None])]
-    parts = [np.array([n], np.int64), rk[order], place[order], rk2[order], *(x.astype(np.uint16) for x in (r_lcp, right_size[order], l_lcp, left_size[order], known[order])), r_tail, l_tail]
+    parts = [np.array([len(order), len(counts), *counts], np.int64), rk[order], place[order], rk2[order], *(x.astype(np.uint16) for x in (r_lcp, right_size[order], l_lcp, left_size[order], known[order])), r_tail, l_tail]
     raw = b"".join(x.tobytes() for x in parts)
     return len(raw).to_bytes(8, "big") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
-def _unpack(run: bytes) -> tuple:
+def _unpack(run: bytes, merge: int) -> tuple:
+    """The rows of one merge."""
     raw = pa.decompress(run[8:], decompressed_size=int.from_bytes(run[:8], "big"), codec="zstd", asbytes=True)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    rk, place = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
-    rk2 = np.frombuffer(raw, np.int32, n, 8 + 16 * n)
-    r_lcp, r_size, l_lcp, l_size, known = np.frombuffer(raw, np.uint16, 5 * n, 8 + 20 * n).reshape(5, n)
-    at = 8 + 30 * n
-    rights, at = _decode(raw, at, r_lcp.tolist(), r_size.tolist())
-    lefts, _ = _decode(raw, at, l_lcp.tolist(), l_size.tolist())
-    return r_lcp.tolist(), rights, lefts, rk, rk2, place, known
-
-
-def _decode(raw: bytes, at: int, lcps: list[int], sizes: list[int]) -> tuple[list[bytes], int]:
-    out, last = [], b""
+    n, merges = np.frombuffer(raw, np.int64, 2).tolist()
+    counts = np.frombuffer(raw, np.int64, merges, 16)
+    own, at = slice(counts[:merge].sum(), counts[: merge + 1].sum()), 16 + 8 * merges
+    rk, place = np.frombuffer(raw, np.int64, 2 * n, at).reshape(2, n)
+    rk2 = np.frombuffer(raw, np.int32, n, at + 16 * n)
+    r_lcp, r_size, l_lcp, l_size, known = np.frombuffer(raw, np.uint16, 5 * n, at + 20 * n).reshape(5, n)
+    at += 30 * n
+    new = [(size.astype(np.int64) - lcp) for size, lcp in ((r_size, r_lcp), (l_size, l_lcp))]
+    rights = _decode(raw, at + new[0][: own.start].sum(), r_lcp[own].tolist(), r_size[own].tolist())
+    lefts = _decode(raw, at + new[0].sum() + new[1][: own.start].sum(), l_lcp[own].tolist(), l_size[own].tolist())
+    return r_lcp[own].tolist(), rights, lefts, rk[own], rk2[own], place[own], known[own]
+
+
+def _decode(raw: bytes, at: int, lcps: list[int], sizes: list[int]) -> list[bytes]:
+    at, out, last = int(at), [], b""
     for lcp, size in zip(lcps, sizes, strict=True):
         last = last[:lcp] + raw[at : at + size - lcp]
         at += size - lcp
         out.append(last)
-    return out, at
+    return out
 
 
 def _common(x: bytes, y: bytes, at: int) -> int:
@@ -282,6 +293,8 @@ def repeated_offsets(r_lcp: np.ndarray, r_size: np.ndarray, left: list[bytes], l
     """For segments in suffix order: the least and greatest bytes before the anchor of a repeated string (-1: none)."""
     n = len(r_lcp)
     low, high = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    if n < 2:
+        return low, high
     l_size = np.fromiter(map(len, left), np.int64, n)
     width = max(1, span - 1)
     rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in left), np.uint8).reshape(n, width)
@@ -334,7 +347,7 @@ def union_of(rk: np.ndarray, rk2: np.ndarray, low: np.ndarray, high: np.ndarray)
 _FOUND = "rk bigint, rk2 int, low bigint, high bigint"
 
 
-def _runs(length: int, gram: int, parts: int, hot: tuple):
+def _runs(length: int, gram: int, parts: int, hot: tuple, merges: int = 1):
     span = length - gram + 1
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -353,11 +366,12 @@ def _runs(length: int, gram: int, parts: int, hot: tuple):
             yield _sent((found[0] + found[2]) % parts, pa.nulls(len(found[0]), pa.binary()), *found)
         send = np.flatnonzero(~equal | (own == np.arange(len(own))))
         order, _ = _sorted(right[send], r_size[send])
-        part = (gram_hash[send] % _U(parts)).astype(np.int64)[order]
-        by_part = np.argsort(part, kind="stable")
-        order, part = send[order[by_part]], part[by_part]
+        merge = (gram_hash[send] % _U(parts * merges)).astype(np.int64)[order]
+        by_merge = np.argsort(merge, kind="stable")
+        order, merge = send[order[by_merge]], merge[by_merge]
+        part, merge = merge // merges, merge % merges
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        blobs = [_pack(right, r_size, left, l_size, known, rk, rk2, place, order[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        blobs = [_pack(right, r_size, left, l_size, known, rk, rk2, place, order[a:b], np.bincount(merge[a:b], minlength=merges)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         none = pa.nulls(len(blobs), pa.int64())
         yield _sent(part[edge[:-1]], pa.array(blobs, pa.binary()), none, pa.nulls(len(blobs), pa.int32()), none, none)
 
@@ -390,27 +404,31 @@ def _sent(part, run, rk, rk2, low, high) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(partition_key(part)), run, *map(pa.array, (rk, rk2, low, high))], names=["part", "run", "rk", "rk2", "low", "high"])
 
 
-def _merge(length: int, gram: int):
+def _merge(length: int, gram: int, merges: int = 1):
     span = length - gram + 1
 
+    def merged_spans(blobs: list[bytes], merge: int) -> pa.RecordBatch:
+        runs = [_unpack(blob, merge) for blob in blobs]
+        which, index, lcp = merged([(r[0], r[1]) for r in runs])
+        which, index = np.array(which, np.int64), np.array(index, np.int64)
+        begin = np.concatenate([[0], np.cumsum([len(r[1]) for r in runs])])
+        at = begin[which] + index
+        sizes = np.fromiter((len(s) for r in runs for s in r[1]), np.int64)[at]
+        rk, rk2, place, known = (np.concatenate([r[i] for r in runs])[at] for i in (3, 4, 5, 6))
+        lefts = [s for r in runs for s in r[2]]
+        lefts = [lefts[i] for i in at.tolist()]
+        low, high = repeated_offsets(np.array(lcp, np.int64), sizes, lefts, length, span)
+        hit = (high >= 0) & (known == 0)
+        return pa.RecordBatch.from_arrays([*map(pa.array, union_of(rk[hit], rk2[hit], (place - high)[hit], (place - low)[hit] + length))], names=["rk", "rk2", "low", "high"])
+
     def run(batches):
         for t in groups(batches, 1):
             is_run = t.column("run").is_valid()
             yield from t.filter(pc.invert(is_run)).select(["rk", "rk2", "low", "high"]).combine_chunks().to_batches()
-            runs = [_unpack(r) for r in t.column("run").filter(is_run).to_pylist()]
-            if not runs:
-                continue
-            which, index, lcp = merged([(r[0], r[1]) for r in runs])
-            which, index = np.array(which), np.array(index)
-            begin = np.concatenate([[0], np.cumsum([len(r[1]) for r in runs])])
-            at = begin[which] + index
-            sizes = np.fromiter((len(s) for r in runs for s in r[1]), np.int64)[at]
-            rk, rk2, place, known = (np.concatenate([r[i] for r in runs])[at] for i in (3, 4, 5, 6))
-            lefts = [s for r in runs for s in r[2]]
-            lefts = [lefts[i] for i in at.tolist()]
-            low, high = repeated_offsets(np.array(lcp, np.int64), sizes, lefts, length, span)
-            hit = (high >= 0) & (known == 0)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, union_of(rk[hit], rk2[hit], (place - high)[hit], (place - low)[hit] + length))], names=["rk", "rk2", "low", "high"])
+            blobs = t.column("run").filter(is_run).to_pylist()
+            del t
+            for merge in range(merges) if blobs else ():
+                yield merged_spans(blobs, merge)
 
     return run
 
@@ -453,11 +471,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # rows that agree in doc_id and text share their name: both are copies, and get the same spans
     rows = docs.select("doc_id", "text").select(*name, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (PART_BYTES * MERGES)))
+    merges = max(1, -(-total // (PART_BYTES * parts)))
     long = rows.where(F.octet_length("text") >= length)
     hot = hot_grams(docs.select("text").where(F.octet_length("text") >= length), length, gram, total)
-    sent = mapped(long.select("rk", "rk2", "text"), _runs(length, gram, parts, hot), "part int, run binary, " + _FOUND)
-    found = mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), _merge(length, gram), _FOUND)
+    sent = mapped(long.select("rk", "rk2", "text"), _runs(length, gram, parts, hot, merges), "part int, run binary, " + _FOUND)
+    found = mapped(sent.repartition(parts, "part").sortWithinPartitions("part"), _merge(length, gram, merges), _FOUND)
     spans = found.groupBy("rk", "rk2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(spans, ["rk", "rk2"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -50,7 +50,7 @@ def test_spans_with_production_settings_and_hot_passages(spark, texts, monkeypat
     hot = suffix_dedup.hot_grams(docs, 200, 16, 0)
     assert len(hot[0]) and len(hot[1])  # all three levels of anchors are in use
     monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *_: hot)
-    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 5_000)  # several merges in a partition
     assert {r.doc_id: r[1:5] for r in suffix_dedup.repeated_spans(docs).collect()} == want
 
 

@@ -198,7 +198,8 @@ def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHA
         return F.struct(d["turn"].alias("turn"), owner(F.col("ends"), d["draw"], shards).alias("shard"), (low - F.col("from")).alias("from"), (high - F.col("from")).alias("to"))
 
     drawn = F.filter(F.transform("draws_", taken), lambda p: (p["to"] > p["from"]) & p["shard"].isNotNull())
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", drawn.alias("drawn"), "row", "mark"), int(total)
+    # explode of one element keeps the optimizer from putting the expression into the lambdas of those who use it
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", F.explode(F.array(drawn)).alias("drawn"), "row", "mark"), int(total)
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
@@ -216,17 +217,19 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **o
     turns = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies")), lambda t: F.struct(t.alias("turn"), F.filter("drawn", lambda p: p["turn"] == t).alias("own")))
     passes = F.filter(turns, lambda t: F.size(t["own"]) > 0)
     whole = lambda t: F.aggregate(t["own"], F.lit(0).cast("bigint"), lambda a, p: a + p["to"] - p["from"]) == F.col("size")
-    spans = lambda t: F.transform(F.filter(t["own"], lambda _: ~whole(t)), lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to")))
-    plan = plan.select("row", "mark", F.transform(passes, lambda t: F.struct(t["turn"].alias("turn"), t["own"][0]["shard"].alias("shard"), whole(t).alias("whole"), spans(t).alias("spans"))).alias("passes"))
-    rows = rows.select("doc", "row", "words").join(plan.where("size(passes) > 0"), "row")
+    spans = lambda t: F.transform(t["own"], lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to")))
+    passes = F.transform(passes, lambda t: F.struct(t["turn"].alias("turn"), t["own"][0]["shard"].alias("shard"), whole(t).alias("whole"), spans(t).alias("spans")))
+    plan = plan.select("row", "mark", F.explode(F.array(passes)).alias("passes"))
+    # as many tasks as the words need, whatever the session's number
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
+    rows = rows.select("doc", "row").repartition(tasks, "row").join(plan, "row")
     tokens = F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    rows = rows.withColumn("tokens", F.when(F.exists("passes", lambda p: ~p["whole"]), tokens))
+    rows = rows.select("*", F.explode(F.array(F.when(F.exists("passes", lambda p: ~p["whole"]), tokens))).alias("tokens"))  # once a row, not once a span
     pieces = lambda p: F.array_join(F.flatten(F.transform(p["spans"], lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
     made = F.transform("passes", lambda p: F.struct(p["turn"].alias("turn"), p["shard"].alias("shard"), F.when(p["whole"], F.col("doc.text")).otherwise(pieces(p)).alias("text")))
     rows = rows.select("doc", F.explode(made).alias("p"), "mark")
     # a shard's own order is by hash; its first bits deal the rows of a large shard to several tasks
     slots = max(1, -(-total // (shards * TASK_WORDS)))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
     place = F.pmod(F.xxhash64(F.lit(seed), "p.shard", "p.turn", "mark"), F.lit(1 << 62))
     rows = rows.select("doc", "p.text", "p.shard", place.alias("place")).withColumn("slot", F.floor(F.col("place") / F.lit((1 << 62) / slots)))
     rows = rows.repartition(tasks, "shard", "slot").sortWithinPartitions("shard", "slot", "place")

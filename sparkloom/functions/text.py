@@ -155,6 +155,12 @@ def mask_filter(boxes: Column, width: Column, height: Column, margin: float = 0.
 def standardized(values: Column) -> Column:
     """(x - mean) / population deviation of an array; a deviation of 0 counts as 1."""
     n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    dev = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.transform(values, lambda x: (x - mean) / F.when(dev > 0, dev).otherwise(F.lit(1.0)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    named = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  computed once, not for every number
+    centred = lambda mean: F.transform(values, lambda x: x - mean)
+
+    def scaled(gaps: Column) -> Column:
+        dev = F.sqrt(total(F.transform(gaps, lambda x: x * x)) / n)
+        return named(F.when(dev > 0, dev).otherwise(F.lit(1.0)), lambda d: F.transform(gaps, lambda x: x / d))
+
+    return named(total(values) / n, lambda mean: named(centred(mean), scaled))

@@ -35,9 +35,9 @@ from .linking import groups
 
 LENGTH, GRAM = 200, 16
 #: Text bytes behind one sorted run, and behind one merge; segments of a run at most.
-RUN_BYTES, PART_BYTES, RUN_SEGMENTS = 8 << 20, 10 << 20, 1 << 17
+RUN_BYTES, PART_BYTES, RUN_SEGMENTS = 8 << 20, 6 << 20, 1 << 17
 #: Merges of one partition, one after the other: the pieces of a run that are exchanged are this much longer.
-MERGES = 4
+MERGES = 6
 #: Long texts are read in pieces of so many starts; so many segments are worked on at once.
 PIECE, CHUNK = 4 << 20, 1 << 16
 #: One slice in so many is sampled for hot k-grams, and so many of these are listed at most, about.

@@ -165,20 +165,21 @@ def _plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHA
     goals = stored(goals.withColumns({"last": F.ceil(F.col("rest") / block).cast("bigint")}).withColumn("draws", F.col("copies") * F.col("blocks") + F.col("last")))
     ends = quotas(goals.select("ord", "draws"), shards, seed).groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
     total = goals.agg(F.sum("target")).first()[0] or 0
-    goals = goals.join(ends, "ord")
-    parts = parts.withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS))
-    runs = parts.groupBy("source", "run").agg(F.sum("words").alias("words"))
-    runs = runs.select(F.col("run").alias("g_run"), F.col("source").alias("r_source"), (F.sum("words").over(Window.partitionBy("source").orderBy("run")) - F.col("words")).alias("before"))
-    goals = runs.join(goals.withColumnsRenamed({c: "g_" + c for c in goals.columns}), F.col("r_source").eqNullSafe(F.col("g_source"))).drop("r_source")
-    base = F.sum("words").over(Window.partitionBy("source", "run").orderBy("bucket")) - F.col("words")
-    parts = parts.select("source", "bucket", "run", base.alias("base")).join(goals, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("run") == F.col("g_run")))
-    parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), (F.col("before") + F.col("base")).alias("base"), *(F.col(c).alias(c[2:]) for c in goals.columns if c.startswith("g_") and c not in ("g_source", "g_run"))))
+    goals = stored(goals.join(ends, "ord").withColumnRenamed("source", "g_source"))
+    run = F.floor(F.col("bucket") / RUN_BUCKETS).alias("run")
+    parts = parts.select("source", "bucket", "words", run)
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("run")) - F.col("words")
+    runs = parts.groupBy("source", "run").agg(F.sum("words").alias("words")).select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), before.alias("before"))
+    inside = F.sum("words").over(Window.partitionBy("source", "run").orderBy("bucket")) - F.col("words")
+    parts = parts.withColumn("inside", inside).join(runs, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
+    parts = stored(parts.select(F.col("source").alias("p_source"), F.col("bucket").alias("p_bucket"), (F.col("before") + F.col("inside")).alias("base")))
 
     # a count of its own: adaptive execution would put this small but laborious input in few tasks
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_DOCS))
     order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark")
     rows = rows.repartition(tasks, "source", "bucket").withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))).drop("p_source", "p_bucket")
+    rows = rows.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("g_source")))  # MAX_SOURCES rows at most
     rows = rows.withColumn("from", F.col("base") + F.col("before"))
     full = F.floor(F.col("source_size") / block).cast("bigint")
     b, end = F.lit(block).cast("bigint"), F.col("from") + F.col("size")

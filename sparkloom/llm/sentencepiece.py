@@ -123,6 +123,7 @@ class Model:
         plain = [bytes([int(b[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else b for b, t in zip(self.bytes, self.types, strict=True)]
         self.plain = np.frombuffer(b"".join(plain), np.uint8)
         self.plain_offs = np.concatenate([[0], np.cumsum([len(b) for b in plain])])
+        self.entry = np.searchsorted(self.keys >> _U(48), np.arange((1 << 16) + 1, dtype=_U))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys & _U((1 << 20) - 1)).astype(np.int64)] = True
         self.forget()
@@ -169,13 +170,18 @@ class Model:
         return out
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Piece ids of substring hashes, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
+        """Symbols of substring hashes, -1 where there is none: sorted keys, entered by their first 16 bits."""
         out = np.full(len(keys), -1)
-        maybe = np.flatnonzero(self.filter[(keys & _U((1 << 20) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == keys[maybe], self.ids[at], -1)
+        at = np.flatnonzero(self.filter[(keys & _U((1 << 20) - 1)).astype(np.int64)])
+        key = keys[at]
+        bucket = (key >> _U(48)).astype(np.int64)
+        place, end = self.entry[bucket], self.entry[bucket + 1]
+        while len(at):
+            inside = place < end
+            at, key, place, end = (x[inside] for x in (at, key, place, end)) if not inside.all() else (at, key, place, end)
+            hit = self.keys[place] == key
+            out[at[hit]] = self.ids[place[hit]]
+            at, key, place, end = at[~hit], key[~hit], place[~hit] + 1, end[~hit]
         return out
 
     # -- words met before

@@ -232,6 +232,19 @@ def test_exact_dedup_against_brute_force(spark, texts):
         assert {r.doc_id: r[1:] for r in exact_dedup.exact_dedup(docs, ident).collect()} == want
 
 
+def test_chunks_follow_content_in_any_script(spark):
+    rng = random.Random(13)
+    alphabets = ["漢字仮名交文東京大学生物", "абвгдежзиклмнопрст", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "the quick brown fox".replace(" ", "")]
+    texts = ["".join(rng.choice(a) for _ in range(12_000)) for a in alphabets]
+    rows = [(i, t, "x" * (i % 3 + 1) + t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    for r in df.select(exact_dedup.chunks(F.col("a")).alias("a"), exact_dedup.chunks(F.col("b")).alias("b")).collect():
+        assert len(r.a) > 5 and len(set(r.a) & set(r.b)) >= 0.8 * len(r.a)  # a shift moves only the first chunks
+    ids = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "x  y"), ("c", "z")], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(ids).collect()), key=str)
+    assert got == sorted([("b", None, 3, False), ("a", None, 3, False), (None, None, 3, True), ("c", "c", 1, True)], key=str)
+
+
 def test_exact_dedup_of_awkward_rows(awkward, nothing):
     rows = exact_dedup.exact_dedup(awkward).collect()
     assert len(rows) == 12

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, quality_model, quality_rules, toxicity
 from sparkloom.llm import sentencepiece as sp
@@ -314,6 +315,15 @@ def test_language_of_long_texts():
     assert edges[0] == 0 and edges[-1] == len(data) and set(offs) <= set(edges) and np.diff(edges).max() <= language_id.BLOCK and first[:3].tolist() == [0, 1, 2]
 
 
+def test_models_of_tables_with_string_ids(spark):
+    texts, toxic, quality = labelled(60)
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(f"d{i}", q, t) for i, (q, t) in enumerate(zip(quality, toxic, strict=True))], "doc_id string, quality int, toxic int")
+    assert toxicity.toxicity(docs, toxicity.train(docs, labels)).where("doc_id LIKE 'd%'").count() == 60
+    assert quality_model.quality(docs, quality_model.train(docs, labels)).where("doc_id LIKE 'd%'").count() == 60
+    assert language_id.language_id(docs, language_id.train(docs)).where("doc_id LIKE 'd%'").count() == 60
+
+
 @pytest.mark.parametrize("module, call", [(toxicity, "toxicity"), (quality_model, "quality"), (language_id, "language_id")])
 def test_models_of_awkward_and_empty_tables(spark, awkward, nothing, module, call):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None), (77, 1, 1)], "doc_id bigint, quality int, toxic int")

@@ -25,6 +25,8 @@ EPOCHS, BATCH, RATE, DECAY = 14, 64, 0.01, 1e-5
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".,!?;:\"')|#*$%&")] = True
 _SPAN = sum(WIDTHS)
+#: Words, and places behind texts, that are pooled at once.
+ROWS = 1 << 16
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,35 +59,39 @@ class Model:
     cuts: np.ndarray  # logit threshold of each language
     heat: float
 
-    def pooled(self, word, prefix, first) -> tuple[np.ndarray, np.ndarray]:
-        """Per text and filter: the maximum, and the word where it is (-1: the text has no words)."""
-        n, texts, k = len(word), len(first) - 1, FILTERS
-        x = self.words[word] + self.prefixes[prefix]
-        y = x @ self.filters
-        top = np.full((texts, len(WIDTHS) * k), 0.0, np.float32)
+    def pooled(self, word, prefix, first, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and filter: the maximum, and with ``places`` the word where it is (-1: the text has no words)."""
+        texts, k, gap = len(first) - 1, FILTERS, max(WIDTHS) - 1
+        top = np.zeros((texts, len(WIDTHS) * k), self.words.dtype)
         where = np.full((texts, len(WIDTHS) * k), -1, np.int64)
-        own = np.flatnonzero(np.diff(first))
-        if not n:
-            return top, where
-        text = np.repeat(np.arange(texts), np.diff(first))
-        left = first[1:][text] - np.arange(n)  # words up to the end of the text: shorter windows are padded with 0
-        col = 0
-        for i, width in enumerate(WIDTHS):
-            z = y[:, col : col + k].copy()
-            for j in range(1, width):
-                part = y[j:, col + j * k : col + (j + 1) * k]
-                z[: n - j] += np.where((left[: n - j] > j)[:, None], part, 0)
-            col += width * k
-            best = np.maximum.reduceat(z, first[own], axis=0)
-            top[own, i * k : (i + 1) * k] = best
-            hit = z == np.repeat(best, np.diff(first)[own], axis=0)
-            for f in range(k):
-                at = np.flatnonzero(hit[:, f])[::-1]
-                where[text[at], i * k + f] = at  # the first of equal maxima
+        full = np.flatnonzero(np.diff(first))
+        rows = np.cumsum(np.diff(first)[full] + gap)
+        for a, b in tc.cuts(np.concatenate([[0], rows]), ROWS):
+            own = full[a:b]
+            size = np.diff(first)[own]
+            words = np.arange(first[own[0]], first[own[-1] + 1])
+            text = np.repeat(np.arange(len(own)), size)
+            at = np.arange(len(words)) + gap * text
+            x = np.zeros((len(words) + gap * len(own), DIM), self.words.dtype)  # windows at the end run into zeros
+            x[at] = self.words[word[words]] + self.prefixes[prefix[words]]
+            n = len(x) - gap
+            begin = at[first[own] - words[0]]
+            edges = np.stack([begin, begin + size], 1).ravel()[:-1]  # the last text ends where all do
+            y, col = x @ self.filters, 0
+            for i, width in enumerate(WIDTHS):
+                z = y[:n, col : col + k].copy()
+                for j in range(1, width):
+                    z += y[j : n + j, col + j * k : col + (j + 1) * k]
+                col += width * k
+                best = np.maximum.reduceat(z, edges, axis=0)[::2]
+                top[own, i * k : (i + 1) * k] = best
+                if places:
+                    f, hit = np.nonzero((z[at] == np.repeat(best, size, axis=0)).T)
+                    where[own[text[hit[::-1]]], i * k + f[::-1]] = words[hit[::-1]]  # the first of equal maxima
         return top, where
 
     def logits(self, word, prefix, first) -> np.ndarray:
-        top, _ = self.pooled(word, prefix, first)
+        top, _ = self.pooled(word, prefix, first, False)
         return np.maximum(top + self.bias, 0) @ self.out + self.const
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -229,8 +229,9 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **o
     pieces = lambda p: F.array_join(F.flatten(F.transform(p["spans"], lambda s: F.slice("tokens", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), "")
     made = F.transform("passes", lambda p: F.struct(p["turn"].alias("turn"), p["shard"].alias("shard"), F.when(p["whole"], F.col("doc.text")).otherwise(pieces(p)).alias("text")))
     rows = rows.select("doc", F.explode(made).alias("p"), "mark")
-    # a shard's own order is by hash; its first bits deal the rows of a large shard to several tasks
-    slots = max(1, -(-total // (shards * TASK_WORDS)))
+    # a shard's own order is by hash; its first bits deal a shard's rows to several tasks, about 8 such slots to a task,
+    # so that tasks are of like size
+    slots = max(1, -(-8 * total // (shards * TASK_WORDS)))
     place = F.pmod(F.xxhash64(F.lit(seed), "p.shard", "p.turn", "mark"), F.lit(1 << 62))
     rows = rows.select("doc", "p.text", "p.shard", place.alias("place")).withColumn("slot", F.floor(F.col("place") / F.lit((1 << 62) / slots)))
     rows = rows.repartition(tasks, "shard", "slot").sortWithinPartitions("shard", "slot", "place")

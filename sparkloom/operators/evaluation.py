@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.shipping import ship
+
 
 def rare_fold(df: DataFrame, y: str, least: int, other: str = "other") -> DataFrame:
     """Labels with fewer than ``least`` rows become ``other``; ``other`` stays, 0 turns it off."""
@@ -136,20 +142,108 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     return df.crossJoin(F.broadcast(held)).withColumn("is_test", F.col(group).eqNullSafe(F.col("held")))
 
 
+#: Rows that a task of :func:`permutation_test` has in memory at once.
+STEP = 1 << 20
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _hashed(x: np.ndarray, start: np.ndarray, wide: bool = False) -> np.ndarray:
+    """Spark's xxhash64 of int (``wide``: bigint) values, carried on from ``start``."""
+    x = x.astype(np.int64).view(np.uint64)
+    if wide:
+        h = _turned((start + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+    else:
+        h = _turned((start + _P5 + np.uint64(4)) ^ ((x & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _places(i: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
+    """Keys of the rows ``i`` of a group, from 0, by which a shuffle orders them; all steps invert, so no two are equal."""
+    h = _hashed(i + 1, start)
+    return _hashed(np.full(1, seed), h, not -(1 << 31) <= seed < 1 << 31) ^ np.uint64(1 << 63)  # as signed numbers
+
+
+def _small_hits(n: np.ndarray, y: np.ndarray, p: np.ndarray, group: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
+    """Hits by cell of y in shuffles of several groups at once; ``group`` has the place of each cell's ``start``."""
+    cell = np.repeat(np.arange(len(n)), n)
+    g = group[cell]
+    i = np.arange(len(cell)) - np.searchsorted(g, g)
+    drawn = cell[np.lexsort((_places(i, start[g], seed), g))]
+    return np.bincount(drawn[y[drawn] == p[cell]], minlength=len(n))
+
+
+def _large_hits(n: np.ndarray, y: np.ndarray, p: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
+    """As :func:`_small_hits` of one group, in STEPs: the keys at which a cell of p begins are found by counting."""
+    ends = np.cumsum(n)
+    total, shift = int(ends[-1]), np.uint64(48)
+    steps = lambda: ((i, _places(i, start, seed)) for a in range(0, total, STEP) for i in [np.arange(a, min(a + STEP, total))])
+    counts = sum(np.bincount((h >> shift).astype(np.int64), minlength=1 << 16) for _, h in steps())
+    upto = np.cumsum(counts)
+    holds = np.searchsorted(upto, ends[:-1], "right")  # the bucket of the row at each cell's beginning
+    wanted = np.zeros(1 << 16, bool)
+    wanted[holds] = True
+    found = np.sort(np.concatenate([h[wanted[(h >> shift).astype(np.int64)]] for _, h in steps()]))
+    within = np.cumsum(np.where(wanted, counts, 0)) - counts  # of those found, how many are in buckets before
+    begins = found[within[holds] + ends[:-1] - (upto - counts)[holds]]
+    out = np.zeros(len(n), np.int64)
+    for i, h in steps():
+        cell = np.searchsorted(ends, i, "right")
+        met = p[np.searchsorted(begins, h, "right")]
+        out += np.bincount(cell[y[cell] == met], minlength=len(n))
+    return out
+
+
+def _shuffled_hits(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """(perm, labels, support, hits) of (perm, start, labels, n, y, p): a group's cells in a shuffle; perm 0 is none."""
+    for batch in batches:
+        size, many = (batch.column(c).value_lengths().to_numpy() for c in ("n", "labels"))
+        n, y, p = (batch.column(c).flatten().to_numpy() for c in ("n", "y", "p"))
+        perm, start = batch.column("perm").to_numpy(), batch.column("start").to_numpy().view(np.uint64)
+        row, ends = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+        rows = np.bincount(row, n, len(size)).astype(np.int64)
+        hits, k = np.where(y == p, n, 0), 0
+        while k < len(size):
+            last = max(k + 1, k + int(np.searchsorted(np.cumsum(rows[k:]), STEP, "right")))
+            at = slice(ends[k] - size[k], ends[last - 1])
+            if rows[k] > STEP:
+                drawn = _large_hits(n[at], y[at], p[at], start[k], seed)
+            else:
+                drawn = _small_hits(n[at], y[at], p[at], row[at] - k, start[k:last], seed)
+            hits[at] = np.where(perm[row[at]] > 0, drawn, hits[at])
+            k = last
+        offset = np.cumsum(many) - many
+        slot = offset[row] + y - 1
+        lists = pa.array(np.append(offset, offset[-1:] + many[-1:]).astype(np.int32))
+        sums = [pa.ListArray.from_arrays(lists, pa.array(np.bincount(slot, v, int(many.sum())).astype(np.int64))) for v in (n, hits)]
+        yield pa.RecordBatch.from_arrays([batch.column("perm"), batch.column("labels"), *sums], ["perm", "labels", "support", "hits"])
+
+
 def permutation_test(df: DataFrame, y: str, p: str, group: str, times: int = 200, seed: int = 0) -> DataFrame:
-    """(observed, mean, std, z, p_value) of balanced accuracy under label shuffles within groups.
+    """(observed, mean, std, z, p_value) of balanced accuracy under label shuffles within groups, null being one.
 
     Each shuffle pairs the i-th label of a group with the i-th prediction in a seeded order.  Rows are numbered by
     their values, so that both sides number them alike whatever the partitions, or a lost executor; rows that agree
-    in label and prediction may change places, which changes nothing.
+    in label and prediction may change places, which changes nothing.  So a group is told by how often it has each
+    label with each prediction: these counts go to the tasks, one for each group and shuffle, and rows are made there.
     """
-    base = df.select(F.col(group).alias("g"), F.col(y).alias("y"), F.col(p).alias("p"))
-    base = base.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("y", "p")))
-    many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    by = Window.partitionBy("perm", "g")
-    left = many.select("perm", "g", "y", F.row_number().over(by.orderBy(F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64("perm", "g", "i", F.lit(seed))), "i")).alias("r"))
-    right = many.select("perm", "g", "p", F.row_number().over(by.orderBy("i")).alias("r"))
-    found = scores(left.join(right, ["perm", "g", "r"]), "y", "p", ["perm"]).select("perm", "balanced_accuracy")
+    ship(df.sparkSession)
+    cells = df.groupBy(F.col(group).alias("g"), F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count("*").alias("n"))
+    each = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("y", "p", "n"))).alias("c")).withColumn("labels", F.array_distinct(F.transform("c", lambda c: c["y"])))
+    place = lambda x, none: F.transform("c", lambda c: F.coalesce(F.array_position("labels", c[x]), F.lit(none)).cast("bigint"))
+    each = each.select("g", "labels", F.col("c.n").alias("n"), place("y", 1).alias("y"), place("p", 0).alias("p"))  # a null label is the first
+    many = each.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(times)))).withColumn("start", F.xxhash64("perm", "g"))
+    many = many.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "start").select("perm", "start", "labels", "n", "y", "p")
+    kind = df.schema[y].dataType.simpleString()
+    drawn = many.mapInArrow(lambda batches: _shuffled_hits(batches, seed), f"perm int, labels array<{kind}>, support array<bigint>, hits array<bigint>")
+    sums = drawn.select("perm", F.explode(F.arrays_zip("labels", "support", "hits")).alias("s")).groupBy("perm", "s.labels").agg((F.sum("s.hits") / F.sum("s.support")).alias("recall"))
+    recalls = sums.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct("labels", "recall"))).alias("r"))  # in order, so that equal shuffles are equal
+    found = recalls.select("perm", (F.aggregate("r", F.lit(0.0), lambda a, r: a + r["recall"]) / F.size("r")).alias("balanced_accuracy"))
     real = F.max(F.when(F.col("perm") == 0, F.col("balanced_accuracy")))
     sums = found.agg(real.alias("observed"), F.avg(F.when(F.col("perm") > 0, F.col("balanced_accuracy"))).alias("mean"), F.stddev_pop(F.when(F.col("perm") > 0, F.col("balanced_accuracy"))).alias("std"), F.array_agg(F.when(F.col("perm") > 0, F.col("balanced_accuracy"))).alias("all"))
     above = F.size(F.filter("all", lambda x: x >= F.col("observed")))

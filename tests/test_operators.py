@@ -376,6 +376,39 @@ def test_permutations_are_of_labels_within_groups(spark):
     assert a == pytest.approx(b) and a[0] == 1.0 and 0.4 < a[1] < 0.75
 
 
+def test_shuffles_are_made_of_counts_and_null_is_a_group(spark):
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.choice(["x", "y", "z", None])) for rng in [random.Random(8)] for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, y string, p string")
+    got = E.permutation_test(df, "y", "p", "g", 40, 5)
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan  # no row is sorted, joined or copied for a shuffle
+    code = {x: k for k, x in enumerate("xyz")}
+    truth, told = (np.array([code.get(r[c], -c) for r in rows]) for c in (1, 2))
+    score = lambda t: np.mean([((t == k) & (told == k)).sum() / (t == k).sum() for k in (-1, 0, 1)])
+    assert got.first().observed == pytest.approx(score(truth)) and got.first().observed == pytest.approx(E.scores(df, "y", "p").first().balanced_accuracy)
+    # the same shuffles, row by row
+    order = np.array(sorted(range(300), key=lambda k: tuple((v is not None, v or "") for v in rows[k])))
+    places = {g: [k for k in order if rows[k][0] == g] for g in ("a", "b", None)}
+    numbered = [(perm, g, i + 1) for perm in range(1, 41) for g, at in places.items() for i in range(len(at))]
+    keys = spark.createDataFrame(numbered, "perm int, g string, i int").select("*", F.xxhash64("perm", "g", "i", F.lit(5)).alias("h")).collect()
+    drawn = []
+    for perm in range(1, 41):
+        t = truth.copy()
+        for g, at in places.items():
+            t[at] = truth[[at[r.i - 1] for r in sorted((r for r in keys if r.perm == perm and r.g == g), key=lambda r: r.h)]]
+        drawn.append(score(t))
+    assert tuple(got.first())[1:3] == pytest.approx((np.mean(drawn), np.std(drawn)))
+
+
+def test_shuffles_in_steps_are_those_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    n, y, p, start = rng.integers(1, 500, 9), rng.integers(1, 4, 9), rng.integers(0, 4, 9), np.array([12345678901234567890], np.uint64)
+    want = E._small_hits(n, y, p, np.zeros(9, int), start, 3)
+    for step in (50, 1 << 20):
+        monkeypatch.setattr(E, "STEP", step)
+        assert (E._large_hits(n, y, p, start[0], 3) == want).all() and want.sum() > 0
+
+
 def test_sets_share_folds_and_pair(spark):
     rng = np.random.default_rng(4)
     rows = [(i, str(i % 2), i % 5, (rng.normal(size=3) + 2 * (i % 2)).tolist(), rng.normal(size=3).tolist()) for i in range(60)]

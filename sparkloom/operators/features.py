@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -121,7 +122,10 @@ def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Rows that one task of :func:`fold_scores`, :func:`pool_scores` or :func:`ward_clusters` may get.
-MAX_ROWS, MAX_WARD = 200_000, 8_000
+MAX_ROWS, MAX_WARD = 200_000, 400_000
+
+#: Numbers that :func:`ward` has of pairs at once.
+WARD_CELLS = 1 << 21
 
 
 def _bounded(part: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -223,33 +227,87 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
 # -- clustering
 
 
+def _nearest(rows: np.ndarray, c: np.ndarray, norm: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The cluster with which each of ``rows`` merges at the least cost; clusters with an infinite norm are gone."""
+    out, step, share = np.empty(len(rows), np.int64), max(16, WARD_CELLS // len(c)), 1 / w
+    for a in range(0, len(rows), step):
+        at = rows[a : a + step]
+        gap = (-2 * c[at]) @ c.T
+        gap += norm
+        gap += norm[at, None]
+        np.maximum(gap, 0, out=gap)
+        gap /= share[at, None] + share
+        gap[np.arange(len(at)), at] = np.inf
+        out[a : a + step] = gap.argmin(1)
+    return out
+
+
 def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward clusters by Lance-Williams updates, numbered by first row."""
+    """Ward clusters, numbered by first row.
+
+    Clusters that are each other's nearest merge in Ward's tree whatever else merges before, so all such pairs merge at
+    once, and the tree is cut by the cost of its merges, copies first.  Clusters that merged, or whose nearest
+    did, look again.  Memory grows with the vectors, not with pairs.
+    """
     n = len(x)
     k = max(1, min(k, n))
-    gap = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1).astype(float) if n <= 256 else np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0).astype(float)
-    np.fill_diagonal(gap, np.inf)
-    size, label, live = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = divmod(int(np.argmin(gap)), n)
-        i, j = min(i, j), max(i, j)
-        rest = live.copy()
-        rest[[i, j]] = False
-        new = ((size[i] + size) * gap[i] + (size[j] + size) * gap[j] - size * gap[i, j]) / (size[i] + size[j] + size)
-        gap[i, rest] = gap[rest, i] = new[rest]
-        gap[j, :] = gap[:, j] = np.inf
-        size[i] += size[j]
-        live[j] = False
-        label[label == j] = i
-    _, at = np.unique(label, return_index=True)
-    order = {label[a]: c for c, a in enumerate(sorted(at))}
-    return np.array([order[v] for v in label])
+    if not np.isfinite(x).all():
+        raise ValueError("vectors must be finite")
+    met: dict[bytes, int] = {}
+    first = np.array([met.setdefault(blake2b((v + 0.0).tobytes(), digest_size=16).digest(), i) for i, v in enumerate(x)])  # + 0.0: one zero
+    del met
+    copies = np.flatnonzero(first != np.arange(n))
+    copies = copies[np.argsort(first[copies], kind="stable")]
+    merges = [(np.zeros(len(copies)), first[copies], copies)]  # cost, row that stays, row that joins it
+    name, w = np.unique(first, return_counts=True)
+    c, w, done = x[name].astype(float, copy=False), w.astype(float), np.zeros(len(name))
+    norm = np.einsum("ij,ij->i", c, c)
+    best, stale, left, most = np.zeros(len(name), np.int64), np.ones(len(name), bool), len(name), len(name)
+    while left > 1:
+        todo = np.flatnonzero(stale)[:most]
+        best[todo] = _nearest(todo, c, norm, w)
+        stale[todo] = False
+        live = np.flatnonzero((norm < np.inf) & ~stale)
+        i = live[(best[best[live]] == live) & ~stale[best[live]] & (live < best[live])]
+        if not len(i) and stale.any():
+            most *= 2
+            continue
+        most = max(16, 32 * len(i))  # where many have the same nearest, few pairs merge: then few look again
+        j = best[i]
+        if not len(i):  # equal costs in a ring, told apart by rounding
+            cost = ((c[live] - c[best[live]]) ** 2).sum(1) / (1 / w[live] + 1 / w[best[live]])
+            at = live[np.argmin(cost)]
+            i, j = np.minimum(at, best[at])[None], np.maximum(at, best[at])[None]
+        apart = c[j] - c[i]
+        cost = np.maximum(np.einsum("ij,ij->i", apart, apart) / (1 / w[i] + 1 / w[j]), np.maximum(done[i], done[j]))
+        merges.append((cost, name[i], name[j]))
+        apart *= (w[j] / (w[i] + w[j]))[:, None]
+        c[i] += apart
+        del apart
+        w[i] += w[j]
+        done[i], norm[i], norm[j] = cost, np.einsum("ij,ij->i", c[i], c[i]), np.inf
+        left -= len(i)
+        moved = np.zeros(len(c), bool)
+        moved[i] = moved[j] = True
+        stale = (stale | moved[best] | moved) & (norm < np.inf)
+        if left < 0.8 * len(c):
+            keep = norm < np.inf
+            to = np.cumsum(keep) - 1
+            c, w, norm, done, name, best, stale = c[keep], w[keep], norm[keep], done[keep], name[keep], to[best[keep]], stale[keep]
+    cost, kept, joined = (np.concatenate(v) for v in zip(*merges, strict=True))
+    label = np.arange(n)
+    for m in np.argsort(cost, kind="stable")[: n - k]:
+        label[joined[m]] = kept[m]
+    while (label[label] != label).any():
+        label = label[label]
+    return np.searchsorted(np.unique(label), label)
 
 
 def ward_clusters(df: DataFrame, key: str, k: int = 24, features: str = "features", block: str | None = None) -> DataFrame:
     """(key, cluster) of Ward's agglomeration over normalised vectors, per ``block`` if given.
 
-    Agglomeration needs all pairs of a set, so a set is one task and must be small (some thousand thumbnails).
+    Agglomeration looks at all pairs of a set, so a set is one task, whose time grows with the square of its rows and
+    whose memory with its rows.
     """
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
@@ -257,9 +315,10 @@ def ward_clusters(df: DataFrame, key: str, k: int = 24, features: str = "feature
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = _bounded(part, MAX_WARD).sort_values("key")
-        x = np.stack(part["x"]).astype(float)
-        std = x.std(1, keepdims=True)
-        x = (x - x.mean(1, keepdims=True)) / np.where(std > 0, std, 1.0)
+        x = np.stack(part.pop("x"), dtype=float, casting="unsafe")
+        std = np.concatenate([x[a : a + 4096].std(1, keepdims=True) for a in range(0, len(x), 4096)])
+        x -= x.mean(1, keepdims=True)
+        x /= np.where(std > 0, std, 1.0)
         return pd.DataFrame({"block": part["block"], "key": part["key"], "cluster": ward(x, k).astype("int32")})
 
     return rows.groupBy("block").applyInPandas(run, f"block string, key {kind}, cluster int").select(*([F.col("block")] if block else []), F.col("key").alias(key), "cluster")

@@ -369,6 +369,37 @@ def test_ward_merges_what_adds_least_variance():
     assert {frozenset(np.flatnonzero(got == k).tolist()) for k in set(got)} == {frozenset(p) for p in parts}
 
 
+def test_ward_of_many_rows_and_copies(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(4, 6)) * 30
+    kind = np.arange(9000) * 7 % 4
+    x = (centres[kind] + rng.normal(size=(9000, 6))).round(2)
+    x[:2000] = x[np.arange(2000) % 4]  # many copies
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "key int, g int, features array<double>")
+    got = {r.key: r.cluster for r in V.ward_clusters(rows, "key", 4, block="g").collect()}
+    first = {k: c for c, k in enumerate(dict.fromkeys(kind.tolist()))}
+    assert [got[i] for i in range(9000)] == [first[k] for k in kind.tolist()]
+    # the same as by merging one pair at a time; few pairs at once
+    monkeypatch.setattr(V, "WARD_CELLS", 100)
+    x = rng.normal(size=(60, 3))[rng.integers(0, 60, 90)]
+    parts = [[i] for i in range(90)]
+    mean = lambda p: x[p].mean(0)
+    cost = lambda a, b: ((mean(a) - mean(b)) ** 2).sum() * len(a) * len(b) / (len(a) + len(b))
+    for k in range(89, 6, -1):
+        a, b = min(((a, b) for b in range(len(parts)) for a in range(b)), key=lambda ab: (round(cost(parts[ab[0]], parts[ab[1]]), 12), ab))
+        parts[a] += parts.pop(b)
+        if k % 7 == 0 or k > 80:
+            assert V.ward(x, k).tolist() == [next(c for c, p in enumerate(parts) if i in p) for i in range(90)]
+
+
+def test_ward_ends():
+    grid = np.stack(np.meshgrid(np.arange(9.0), np.arange(9.0)), -1).reshape(-1, 2)
+    for x in (grid, np.eye(50), np.zeros((50, 2))):
+        assert [len(set(V.ward(x, k))) for k in (1, 5, 50, 100)] == [1, 5, 50, len(x)]  # equal costs
+    with pytest.raises(ValueError, match="finite"):
+        V.ward(np.array([[1.0, np.nan], [1.0, 2.0], [np.nan, 2.0]]), 1)
+
+
 def test_permutations_are_of_labels_within_groups(spark):
     rows = [("g1", i % 2, i % 2) for i in range(20)] + [("g2", 1, 1)] * 5
     df = spark.createDataFrame(rows, "g string, y int, p int")
